@@ -230,7 +230,7 @@ def _pairs(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"])
 
 
-def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", common: int = 24) -> DataFrame:
+def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", common: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs. component_id is the least id that links reach.
 
     Words are lower-cased (A-Z). A text of fewer than k words has its whole sequence as its only shingle; one without
@@ -298,24 +298,38 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     def postings(batches):
         seen: set = set()
         for b in batches:
-            tokens, owners = [], []
+            cols: list[list] = [[], [], [], []]
             for h1, _, s in distinct_sets(b, seen):
-                tokens.append(_ordered(s, bits.value)[: _prefix(len(s), num, den)])
-                owners.append(np.full(len(tokens[-1]), h1, np.int64))
-            if tokens:
-                tokens, owners = mix(np.concatenate(tokens)), np.concatenate(owners)
+                p = _prefix(len(s), num, den)
+                for c, x in zip(cols, (_ordered(s, bits.value)[:p], np.full(p, h1, np.int64), np.full(p, len(s), np.uint32), np.arange(p, dtype=np.uint32)), strict=True):
+                    c.append(x)
+            if cols[0]:
+                tokens, owners, n, at = map(np.concatenate, cols)
+                tokens = mix(tokens)
                 by = np.argsort(tokens)
-                yield from _dealt(tokens[by], shift, {"tokens": tokens[by], "owners": owners[by]})
+                yield from _dealt(tokens[by], shift, {"tokens": tokens[by], "owners": owners[by], "n": n[by], "at": at[by]})
 
     def centred(batches):
         for t in runs(batches, ("part",)):
             tokens, owners = _joined(t, "tokens", np.uint64), _joined(t, "owners", np.int64)
-            by = np.lexsort((owners, tokens))
-            tokens, owners = tokens[by], owners[by]
+            n, at = _joined(t, "n", np.uint32).astype(np.int64), _joined(t, "at", np.uint32).astype(np.int64)
+            by = np.lexsort((owners, n, tokens))
+            tokens, owners, n, at = tokens[by], owners[by], n[by], at[by]
+            # a copy that another task met; then runs of one shingle whose neighbours in size can link
+            new = np.ones(len(tokens), dtype=bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
+            tokens, owners, n, at = tokens[new], owners[new], n[new], at[new]
             fresh = np.ones(len(tokens), dtype=bool)
-            fresh[1:] = tokens[1:] != tokens[:-1]
-            centre = owners[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-            apart = owners != centre
+            fresh[1:] = (tokens[1:] != tokens[:-1]) | (den * n[:-1] < num * n[1:])
+            starts = np.flatnonzero(fresh)
+            lengths = np.diff(np.append(starts, len(tokens)))
+            # of a run of two: this shingle and all that follow it must suffice
+            two = starts[lengths == 2]
+            reach = np.minimum(n[two] - at[two], n[two + 1] - at[two + 1])
+            lengths[np.flatnonzero(lengths == 2)[(num + den) * reach < num * (n[two] + n[two + 1])]] = 1
+            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
+            centre = np.minimum.reduceat(owners, starts)[run] if len(starts) else owners
+            apart = (lengths[run] > 1) & (owners != centre)
             centre, owners = centre[apart], owners[apart]
             by = np.lexsort((owners, centre))
             centre, owners = centre[by], owners[by]
@@ -323,7 +337,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             fresh[1:] = (centre[1:] != centre[:-1]) | (owners[1:] != owners[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(centre[fresh]), pa.array(owners[fresh])], ["centre", "h1"])
 
-    near = texts.mapInArrow(postings, "part int, tokens binary, owners binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(centred, "centre bigint, h1 bigint")
+    near = texts.mapInArrow(postings, "part int, tokens binary, owners binary, n binary, at binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(centred, "centre bigint, h1 bigint")
     near = cut(near.distinct())
     everyone = near.union(near.select("centre", F.col("centre").alias("h1")).distinct())
     members = cut(everyone.join(sizes, "h1").select("centre", "key", "h1", "n"))
