@@ -3,17 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arachne.llm.compression import fit_compression, score_compression
+from arachne.llm.labelled import fold
 from arachne.llm.ngram_join import link_components
+from arachne.llm.packing import pack
+from arachne.llm.rules import apply_rules, fit_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
+
+
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return apply_rules(docs, *fit_rules(docs, _read(spark, sf_dir, "labels")))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
-QUERIES = {"op7_ngram_join": op7_ngram_join}
+def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = fit_compression(docs, _read(spark, sf_dir, "labels"), where=fold("doc_id", 4) != 2)
+    scored = score_compression(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_rules": op2_rules, "op10_compression": op10_compression, "op7_ngram_join": op7_ngram_join}
 ORACLES: dict[str, str] = {}
