@@ -1,7 +1,7 @@
-"""Quality by compression: zstandard dictionaries of good and of bad labelled text.
+"""Quality by compression: zstandard dictionaries trained on good and on bad labelled text.
 
-A document is compressed with either dictionary and with none. The difference of the first two sizes, in proportion to the
-last, and how far the text compresses at all, go through a logistic curve fitted on labelled rows.
+A document is compressed with either dictionary. The difference of the two sizes, in proportion to the text's own size, goes
+through a logistic curve fitted on labelled rows that trained no dictionary.
 """
 
 from __future__ import annotations
@@ -15,34 +15,34 @@ from arachne.llm.labelled import labelled_sample
 
 
 class Compressors:
-    """Opened once in each worker. Compressors are not shared between processes."""
+    """Opened once in each worker: compressors are not shared between processes."""
 
     def __init__(self, dictionaries: tuple[bytes, bytes], level: int = 3):
         import zstandard as z
 
-        # A context whose parameters don't depend on a text's length
-        raw = [z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT) if d else None for d in dictionaries]
-        for d in raw:
-            if d is not None:
-                d.precompute_compress(level=level)
-        self.of = [z.ZstdCompressor(level=level, dict_data=d, write_content_size=False) if d is not None else z.ZstdCompressor(level=level, write_content_size=False) for d in [*raw, None]]
+        self.of = []
+        for d in dictionaries:
+            known = z.ZstdCompressionDict(d)
+            known.precompute_compress(level=level)
+            self.of.append(z.ZstdCompressor(level=level, dict_data=known, write_content_size=False))
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """0, 0 for an empty text."""
+    def difference(self, text: bytes) -> float:
+        """How much smaller the good dictionary makes a text than the bad one, in parts of its size; 0 if empty."""
         if not text:
-            return 0.0, 0.0
-        good, bad, plain = (len(c.compress(text)) for c in self.of)
-        return (bad - good) / plain, (good + bad) / 2 / plain
+            return 0.0
+        good, bad = (len(c.compress(text)) for c in self.of)
+        return (bad - good) / len(text)
 
 
-def build_dictionary(texts: list[bytes], size: int, sample_bytes: int = 16_384) -> bytes:
-    """`size` bytes of content at most: runs of equal length from the beginnings of texts that stay apart, so that all
-    texts have a share."""
-    texts = [t[:sample_bytes] for t in texts if t]
-    if not texts:
-        return b""
-    each = max(64, size // len(texts))
-    return b"".join(t[:each] for t in texts)[:size]
+def build_dictionary(texts: list[bytes], size: int) -> bytes:
+    """A trained dictionary of `size` bytes at most; texts that are too few to train on are its content as they are."""
+    import zstandard as z
+
+    texts = [t for t in texts if len(t) > 8]
+    try:
+        return z.train_dictionary(min(size, max(1024, sum(map(len, texts)) // 8)), texts).as_bytes()
+    except z.ZstdError:
+        return b"".join(texts)[:size]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -59,55 +59,55 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3
     return w
 
 
-def _design(f: np.ndarray) -> np.ndarray:
-    return np.stack([f[:, 0], f[:, 1], f[:, 1] ** 2], axis=1)
-
-
-def fit_compression(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample_rows: int = 4000, dictionary: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Dictionaries and curve from at most `sample_rows` labelled rows of each class that `where` admits: every second
-    row builds the dictionaries, the others fit the curve. Without rows of either class every score is 0.5.
+def fit_compression(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample_rows: int = 4000, dictionary: int = 112_640, head: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Dictionaries and curve from at most `sample_rows` labelled rows of each class that `where` admits.
 
-    Dictionaries take up to 16 KB from the beginning of a text of that sample; the curve takes whole texts.
+    A half of them, chosen by hash, trains the dictionaries (with `head` bytes of a text at most), the others, whole,
+    fit the curve. Where a class has no rows in either half every score is 0.5.
     """
+    none = {"dictionaries": (b"", b""), "weights": np.zeros(2)}
     sample = labelled_sample(docs, labels, "quality", sample_rows, where, id_col, text_col)
     even = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)) == 0
-    heads = sample.filter(even).select("id", "y", F.expr("substring(cast(text as binary), 1, 16384)").alias("head")).collect()
-    heads.sort(key=lambda r: str(r["id"]))
+    heads = sample.filter(even).select("id", "y", F.expr(f"substring(cast(text as binary), 1, {head})").alias("head")).collect()
+    heads.sort(key=lambda r: (str(r["id"]), bytes(r["head"])))
     dictionaries = tuple(build_dictionary([bytes(r["head"]) for r in heads if r["y"] == y], dictionary) for y in (1, 0))
     if not all(dictionaries):
-        return {"dictionaries": (b"", b""), "weights": np.zeros(4)}
+        return none
 
     def measured(batches):
         c = Compressors(dictionaries)
         for b in batches:
-            f = np.array([c.features(t) for t in b.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], ["y", "d", "c"])
+            d = np.array([c.difference(t) for t in b.column("text").cast(pa.binary()).to_pylist()], dtype=float)
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(d)], ["y", "d"])
 
-    rows = np.array([tuple(r) for r in sample.filter(~even).select("text", "y").mapInArrow(measured, "y int, d double, c double").collect()], dtype=float).reshape(-1, 3)
+    rows = np.array([tuple(r) for r in sample.filter(~even).select("text", "y").mapInArrow(measured, "y int, d double").collect()], dtype=float).reshape(-1, 2)
     rows = rows[np.lexsort(rows.T)]
     if len(set(rows[:, 0])) < 2:
-        return {"dictionaries": (b"", b""), "weights": np.zeros(4)}
+        return none
     share = labels.filter(where if where is not None else F.lit(True)).filter("quality in (0, 1)").agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    weights = _logistic(_design(rows[:, 1:]), rows[:, 0])
+    scale = float(rows[:, 1].std()) or 1.0
+    weights = _logistic(rows[:, 1:] / scale, rows[:, 0])
+    weights[1] /= scale
     # the sample's classes are of other sizes than the labels'
     weights[0] += np.log(share / (1 - share)) - np.log(rows[:, 0].mean() / (1 - rows[:, 0].mean()))
     return {"dictionaries": dictionaries, "weights": weights}
 
 
-def score_compression(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column `score` in 0 to 1, higher where label 1 is likelier.
+def score_compression(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """docs with a column `score` in 0 to 1, higher where label 1 is likelier; one of that name is replaced.
 
-    Null and empty texts get the score of a text that neither dictionary favours. All rows stay.
+    Null and empty texts get the score of a text that neither dictionary favours. All rows stay, repeated ones too.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        c = Compressors(sent.value["dictionaries"])
+        known = all(sent.value["dictionaries"])
+        c = Compressors(sent.value["dictionaries"]) if known else None
         w = sent.value["weights"]
         for b in batches:
-            f = np.array([c.features(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, 2)
-            f[f[:, 1] == 0, 1] = 0.5
-            p = 1 / (1 + np.exp(-np.clip(w[0] + _design(f) @ w[1:], -30, 30)))
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            d = np.array([c.difference(t or b"") for t in texts] if known else [0.0] * len(texts), dtype=float)
+            p = 1 / (1 + np.exp(-np.clip(w[0] + d * w[1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in b.schema.names[1:]), pa.array(p)], [*b.schema.names[1:], "score"])
 
     others = [c for c in docs.columns if c != "score"]

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from arachne.llm.compression import fit_compression, score_compression
 from arachne.llm.labelled import fold
+from arachne.llm.mixing import mix_sources
 from arachne.llm.ngram_join import link_components
 from arachne.llm.packing import pack
+from arachne.llm.pii import fit_secrets, pii_spans
 from arachne.llm.rules import apply_rules, fit_rules
 
 
@@ -31,6 +33,15 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, *fit_rules(docs, _read(spark, sf_dir, "labels")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii_spans(docs, fit_secrets(docs))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents")).drop("copies")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -42,5 +53,24 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_rules": op2_rules, "op10_compression": op10_compression, "op7_ngram_join": op7_ngram_join}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_packing": op1_packing, "op2_rules": op2_rules, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op10_compression": op10_compression, "op7_ngram_join": op7_ngram_join}
+ORACLES: dict[str, str] = {
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(i % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS bound FROM s),
+l AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(bound) OVER b, 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS left_ FROM w
+    WINDOW b AS (ORDER BY bound / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, (SELECT arg_min(rest / left_, (bound / weight, i)) FROM l WHERE rest / left_ < bound / weight) AS level FROM l),
+t AS (SELECT source, source_size, coalesce(least(bound, level * weight), bound) AS target FROM f),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS whole FROM t),
+h AS (SELECT d.*, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS budget,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS here
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+    (size * (whole + CASE WHEN budget > 0 AND (upto <= budget OR (upto - here <= budget AND upto - budget < budget - (upto - here))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM h
+""",
+}
