@@ -84,6 +84,25 @@ def _thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("s", "below")
 
 
+def _by_source(rows: DataFrame, plan: DataFrame, column: str, most: int = 100_000) -> DataFrame:
+    """rows joined to the row of their source. A plan of so many sources at most is broadcast, so rows stay where they
+    are and a source with most of them is no matter; a longer one, whose sources are then small, is joined by shuffle."""
+    joined = _same(column, "t")
+    return rows.join(F.broadcast(plan) if plan.limit(most + 1).count() <= most else plan, joined)
+
+
+def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(t, source_size, target, whole, below) of each source t, from (s, size, h) rows that are read several times."""
+    targets = cut(source_targets(rows.select(F.col("s").alias("source"), "size"), weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")))
+    budgets = targets.select(F.col("source").alias("s"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    return cut(targets.join(_thresholds(rows, budgets), _same("source", "s")).select(F.col("source").alias("t"), "source_size", "target", "whole", "below"))
+
+
+def _copies() -> Column:
+    more = (F.col("h") < F.col("below")) & (F.col("whole") * F.col("source_size") < F.col("target"))
+    return F.col("whole") + more.cast("int")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, copies, taken) for each row of docs.
 
@@ -92,10 +111,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     with a null id. A source without words takes nothing. Reruns agree, however the rows are dealt. No rows: none.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("s"), word_count(F.col(text_col).cast("string")).alias("size"), hash60(F.col(id_col)).alias("h")))
-    targets = cut(source_targets(rows.select(F.col("s").alias("source"), "size"), weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")))
-    budgets = targets.select(F.col("source").alias("s"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    below = _thresholds(rows, budgets)
-    plan = targets.join(below, _same("source", "s")).select(F.col("source").alias("t"), "source_size", "target", "whole", "below")
-    copies = F.col("whole") + (F.col("h") < F.col("below")).cast("int") * (F.col("whole") * F.col("source_size") < F.col("target")).cast("int")
-    out = rows.join(plan, _same("s", "t")).withColumn("copies", copies)
+    out = _by_source(rows, mix_plan(rows, weights, share, most), "s").withColumn("copies", _copies())
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as mix_sources takes it, with the columns of docs."""
+    rows = cut(docs.select(F.col(source_col).cast("string").alias("s"), word_count(F.col(text_col).cast("string")).alias("size"), hash60(F.col(id_col)).alias("h")))
+    plan = mix_plan(rows, weights, share, most)
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(source_col).cast("string").alias("s"), hash60(F.col(id_col)).alias("h"))
+    kept = _by_source(kept, plan, "s").withColumn("copies", _copies()).filter("copies > 0")
+    return kept.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

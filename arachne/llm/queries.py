@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arachne.llm.chat import format_conversations, read_back
 from arachne.llm.compression import fit_compression, score_compression
 from arachne.llm.labelled import fold
+from arachne.llm.lm import score_texts
 from arachne.llm.mixing import mix_sources
 from arachne.llm.ngram_join import link_components
 from arachne.llm.packing import pack
 from arachne.llm.pii import fit_secrets, pii_spans
 from arachne.llm.rules import apply_rules, fit_rules
+from arachne.llm.syncmers import fingerprints
+from arachne.llm.warc import archived_pages
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,17 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, *fit_rules(docs, _read(spark, sf_dir, "labels")))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"), train=fold("doc_id", 5) != 1)
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return read_back(format_conversations(rows.unionByName(extra)))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return pii_spans(docs, fit_secrets(docs))
@@ -46,6 +61,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_read(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = fit_compression(docs, _read(spark, sf_dir, "labels"), where=fold("doc_id", 4) != 2)
@@ -53,7 +76,7 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_rules": op2_rules, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op10_compression": op10_compression, "op7_ngram_join": op7_ngram_join}
+QUERIES = {"op1_packing": op1_packing, "op2_rules": op2_rules, "op3_lm_scoring": op3_lm_scoring, "op4_chat": op4_chat, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op10_compression": op10_compression, "op7_ngram_join": op7_ngram_join, "op8_fingerprints": op8_fingerprints, "op9_warc": op9_warc}
 ORACLES: dict[str, str] = {
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
