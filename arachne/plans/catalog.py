@@ -2,18 +2,368 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arachne.functions import text as X
+from arachne.functions import url as U
+from arachne.operators import learning as L
+from arachne.operators import media as M
 from arachne.session import table
 
-TAG = r"(?i)<(?!/)([^\s>]+)([^>]*)>"
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+LINK = r'<a href="([^"]*)"'
+_HOST_SQL = r"nullif(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/:?#]*)', 1), '')"
+SEEDS = ("thththth.example.com", "example.net", "example.org")
+SOURCES = ("/img/a.jpg", "../img/b.png", "c.gif", "http://cdn.example.com/d.jpg", "//cdn.example.com/e.jpg")
+_A = r"regexp_replace(regexp_replace(url, '^http[^:]*://', ''), '\.[^.]{0,4}$', '')"
+_TOKENS_A = rf"SELECT page_id, url, unnest(regexp_split_to_array({_A}, '[/ .-]')) AS token FROM pages"
+_LABELLED = "(SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'BIG' ELSE 'SMALL' END AS cls, url FROM pages)"
 
 
-def tag_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(TAG), 1)).alias("tag"))
-    return tags.groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
 
+    return add
 
-QUERIES = {"tag_count": tag_count}
-ORACLES = {"tag_count": r"SELECT lower(tag) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([^\s>/][^\s>]*)([^>]*)>', 1)) AS tag FROM pages) GROUP BY 1"}
+
+def _grams(least: int, most: int, where: str = "") -> str:
+    t = _TOKENS_A.replace("FROM pages", f"FROM {_LABELLED}").replace("page_id, url", "cls")
+    return f"SELECT cls, substr(token, i::INT, n::INT) AS ngram, count(*) AS n FROM ({t}) t, generate_series(1, 400) a(i), generate_series({least}, {most}) b(n) WHERE i + n - 1 <= length(token) GROUP BY 1, 2{where}"
+
+
+def _count(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+@query("tag_count", r"SELECT lower(tag) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([^\s>/][^\s>]*)([^>]*)>', 1)) AS tag FROM pages) GROUP BY 1")
+def tag_count(s: SparkSession, d: str) -> DataFrame:
+    return _count(table(s, d, "pages").select(F.explode(X.tags(F.col("html"))).alias("tag")), "tag")
+
+
+@query("word_count", r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS word FROM documents) GROUP BY 1")
+def word_count(s, d):
+    return _count(table(s, d, "documents").select(F.explode(X.words(F.col("text"))).alias("word")), "word")
+
+
+@query("line_word_count", r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '[^ \t\r\f]+')) AS word FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1")
+def line_word_count(s, d):
+    lines = table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return _count(lines.select(F.explode(X.words(F.col("line"))).alias("word")), "word")
+
+
+@query("json_key_count", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+def json_key_count(s, d):
+    return _count(table(s, d, "events").select(F.get_json_object("props", "$.k").alias("k")).filter("k is not null"), "k")
+
+
+_PAYLOAD = "concat('HTTP/1.1 200 OK', chr(13), chr(10), CASE WHEN page_id % 2 = 0 THEN 'Content-Type: text/html' ELSE 'Content-Type: text/plain' END, CASE WHEN page_id % 5 = 0 THEN '' ELSE concat(chr(13), chr(10), chr(13), chr(10)) END, html)"
+
+
+@query("http_split_counters", f"SELECT count(*) AS records_in, sum((instr(p, e) = 0)::INT)::BIGINT AS exceptions, sum((instr(p, e) > 0 AND contains(substr(p, 1, instr(p, e) - 1), 'Content-Type: text/html'))::INT)::BIGINT AS html FROM (SELECT {_PAYLOAD} AS p, concat(chr(13), chr(10), chr(13), chr(10)) AS e FROM pages)")
+def http_split_counters(s, d):
+    p = X.http_parts(F.expr(_PAYLOAD))
+    t = table(s, d, "pages").select(p.alias("p"))
+    return t.agg(F.count("*").alias("records_in"), F.sum(F.col("p").isNull().cast("bigint")).alias("exceptions"), F.sum(F.coalesce(F.col("p.header").contains("Content-Type: text/html"), F.lit(False)).cast("bigint")).alias("html"))
+
+
+@query("page_preview", "SELECT page_id, url, concat(substr(html, 1, 500), CASE WHEN length(html) > 500 THEN '...' ELSE '' END) AS preview FROM pages ORDER BY page_id LIMIT 6")
+def page_preview(s, d):
+    return table(s, d, "pages").orderBy("page_id").limit(6).select("page_id", "url", X.preview(F.col("html")).alias("preview"))
+
+
+@query("host_freq", f"SELECT {_HOST_SQL} AS host, count(*) AS n FROM pages GROUP BY 1")
+def host_freq(s, d):
+    return _count(table(s, d, "pages").select(U.host(F.col("url")).alias("host")), "host")
+
+
+@query("host_freq_www_stripped", rf"SELECT regexp_replace({_HOST_SQL}, '^www\.', '') AS host, count(*) AS n FROM pages GROUP BY 1")
+def host_freq_www_stripped(s, d):
+    return _count(table(s, d, "pages").select(U.strip_www(U.host(F.col("url"))).alias("host")), "host")
+
+
+@query("distinct_hosts", f"SELECT count(DISTINCT {_HOST_SQL}) AS hosts, count(DISTINCT url) AS urls FROM pages")
+def distinct_hosts(s, d):
+    return table(s, d, "pages").agg(F.count_distinct(U.host(F.col("url"))).alias("hosts"), F.count_distinct("url").alias("urls"))
+
+
+def _links(s, d):
+    return table(s, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("href"))
+
+
+_LINKS_SQL = f"SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages"
+
+
+@query("links_extract", f"SELECT href, count(*) AS n FROM ({_LINKS_SQL}) GROUP BY 1")
+def links_extract(s, d):
+    return _count(_links(s, d), "href")
+
+
+@query("host_pair_freq", f"SELECT {_HOST_SQL} AS page_host, substr(href, 2, 1) AS target, count(*) AS n FROM ({_LINKS_SQL}) GROUP BY ROLLUP (1, 2)")
+def host_pair_freq(s, d):
+    t = _links(s, d).select(U.host(F.col("url")).alias("page_host"), F.substring("href", 2, 1).alias("target"))
+    return t.rollup("page_host", "target").agg(F.count("*").alias("n"))
+
+
+_URLS = "http://x.com/a.JPG http://x.com/a.jpg?x=1 asdfsdf.mov https://vimeo.com/123 https://www.vimeo.com/123 http://www.youtube.com/watch?v=abc http://youtube.com/watch?v=abc httpsss://vimeo.com/1 http://instagram.com/p/AbC/ http://flickr.com/photos/bob/123/ http://www.dailymotion.com/video/x1_abc http://twitpic.com/9z http://x.com/v.webm".split()
+
+
+def _flags(s, d, flag):
+    known = s.createDataFrame([(u,) for u in _URLS], "url string")
+    return table(s, d, "pages").select("url").union(known).select("url", flag(F.col("url")).alias("flag"))
+
+
+def _flag_sql(*patterns: str) -> str:
+    either = " OR ".join(f"regexp_full_match(url, '{p}')" for p in patterns)
+    values = ", ".join(f"('{u}')" for u in _URLS)
+    return f"SELECT url, {either} AS flag FROM (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES {values}) v(url))"
+
+
+@query("media_url_flag", _flag_sql(U.MEDIA_SUFFIX, U.INSTAGRAM, U.YOUTUBE, U.VIMEO, U.DAILYMOTION, U.FLICKR, U.TWITPIC))
+def media_url_flag(s, d):
+    return _flags(s, d, U.is_media_url)
+
+
+@query("video_url_flag", _flag_sql(U.VIDEO_SUFFIX, U.YOUTUBE, U.VIMEO, U.DAILYMOTION))
+def video_url_flag(s, d):
+    return _flags(s, d, U.is_video_url)
+
+
+@query("normalize_url")
+def normalize_url(s, d):
+    t = table(s, d, "pages").select("page_id", "url", F.explode(F.array(*map(F.lit, SOURCES))).alias("src"))
+    return t.select("page_id", "src", U.normalize_url(F.col("src"), F.col("url")).alias("n")).select("page_id", "src", "n.*")
+
+
+@query("url_uuid", "SELECT page_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '3' || substr(h, 14, 3), substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS id FROM (SELECT page_id, md5(url) AS h FROM pages)")
+def url_uuid(s, d):
+    return table(s, d, "pages").select("page_id", U.url_uuid(F.col("url")).alias("id"))
+
+
+@query("dedup_first", f"SELECT host, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY url, page_id) AS k FROM (SELECT {_HOST_SQL} AS host, page_id, url FROM pages)) WHERE k = 1")
+def dedup_first(s, d):
+    return M.first_of_each(table(s, d, "pages").select(U.host(F.col("url")).alias("host"), "page_id", "url"), "host", ["url", "page_id"])
+
+
+def _seeds(s):
+    return s.createDataFrame([(x,) for x in SEEDS], "seed string")
+
+
+_VALUES = ", ".join(f"('{x}')" for x in SEEDS)
+
+
+@query("seed_semi_join", f"SELECT page_id, url FROM pages WHERE {_HOST_SQL} IN ({', '.join(repr(x) for x in SEEDS)}, (SELECT min({_HOST_SQL}) FROM pages))")
+def seed_semi_join(s, d):
+    t = table(s, d, "pages").select("page_id", "url", U.host(F.col("url")).alias("seed"))
+    seeds = _seeds(s).union(t.agg(F.min("seed").alias("seed")))
+    return t.join(F.broadcast(seeds), "seed", "left_semi").select("page_id", "url")  # a seed list of fixed length
+
+
+@query("seed_contains_join", f"SELECT seed, count(*) AS n FROM pages JOIN (VALUES {_VALUES}) v(seed) ON contains(url, seed) GROUP BY 1")
+def seed_contains_join(s, d):
+    t = table(s, d, "pages").select("url")
+    return _count(t.join(F.broadcast(_seeds(s)), F.col("url").contains(F.col("seed"))).select("seed"), "seed")
+
+
+@query("dom_avg_int", "SELECT l_returnflag, sum(l_linenumber) // count(*) AS avg_int, round(avg(l_linenumber), 6) AS avg_true FROM lineitem GROUP BY 1")
+def dom_avg_int(s, d):
+    return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.expr("sum(l_linenumber) div count(*)").alias("avg_int"), F.round(F.avg("l_linenumber"), 6).alias("avg_true"))
+
+
+@query("balance_classes", """WITH r AS (SELECT doc_id, (quality = 0)::INT AS s, (quality = 1)::INT AS b FROM labels), c AS (SELECT *, sum(s) OVER w AS ss, sum(b) OVER w AS bb FROM r WINDOW w AS (ORDER BY doc_id)),
+k AS (SELECT *, ss + least(0, min(bb + 1 - ss) OVER (ORDER BY doc_id)) AS k FROM c) SELECT doc_id, b AS quality FROM (SELECT *, coalesce(lag(k) OVER (ORDER BY doc_id), 0) AS was FROM k) WHERE b = 1 OR k > was""")
+def balance_classes(s, d):
+    return L.balance(table(s, d, "labels").select("doc_id", "quality"), F.col("quality") == 0, F.col("quality") == 1, [F.col("doc_id")])
+
+
+def _freq(s, d, least=3, most=5, having=1):
+    t = table(s, d, "pages").select(F.when(F.col("page_id") % 3 == 0, "BIG").otherwise("SMALL").alias("cls"), "url")
+    return L.ngram_counts(t, X.url_tokens_c(F.col("url"), lower=False), least, most, F.col("cls"), having)
+
+
+@query("ngram_freq_3_5", _grams(3, 5))
+def ngram_freq_3_5(s, d):
+    return _freq(s, d)
+
+
+@query("ngram_freq_2_15", _grams(2, 15))
+def ngram_freq_2_15(s, d):
+    return _freq(s, d, 2, 15)
+
+
+@query("ngram_having", _grams(3, 5, " HAVING count(*) >= 50"))
+def ngram_having(s, d):
+    return _freq(s, d, having=50)
+
+
+@query("url_tokens_a")
+def url_tokens_a(s, d):
+    return table(s, d, "pages").select("page_id", F.array_join(X.url_tokens_a(F.col("url")), ",").alias("tokens"))
+
+
+@query("url_tokens_b", r"SELECT page_id, array_to_string(list_filter(regexp_split_to_array(url, '\W+'), lambda x: x <> ''), ',') AS tokens FROM pages")
+def url_tokens_b(s, d):
+    return table(s, d, "pages").select("page_id", F.array_join(X.url_tokens_b(F.col("url")), ",").alias("tokens"))
+
+
+@query("url_tokens_c", rf"SELECT page_id, lower(array_to_string(list_filter(regexp_split_to_array({_A}, '[/ .-]'), lambda x: x <> ''), ',')) AS tokens FROM pages")
+def url_tokens_c(s, d):
+    return table(s, d, "pages").select("page_id", F.array_join(X.url_tokens_c(F.col("url")), ",").alias("tokens"))
+
+
+def _score_sql(freq: str, top: int, exclusive: str = "n") -> str:
+    return f"""WITH f AS ({freq}), s AS (SELECT cls, ngram, CASE WHEN count(*) OVER (PARTITION BY ngram) = 1 THEN {exclusive} ELSE n - (sum(n) OVER (PARTITION BY ngram) - n) END::BIGINT AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, ngram) AS k FROM s WHERE score > 0)
+SELECT (k - 1 + CASE WHEN cls = 'BIG' THEN 0 ELSE (SELECT coalesce(max(k), 0) FROM r WHERE cls = 'BIG' AND k <= {top}) END)::BIGINT AS idx, ngram, cls, score FROM r WHERE k <= {top}"""
+
+
+_PRUNED = f"SELECT f.* FROM ({_grams(3, 5)}) f ANTI JOIN (SELECT DISTINCT cls, lower(substr(ngram, i::INT, m::INT)) AS part, length(ngram) AS longer FROM ({_grams(3, 5)}) g, generate_series(1, 5) a(i), generate_series(1, 5) b(m) WHERE i + m - 1 <= length(ngram) AND m < length(ngram)) p ON f.cls = p.cls AND lower(f.ngram) = p.part"
+
+
+@query("vocab_score", _score_sql(_grams(3, 5), 500))
+def vocab_score(s, d):
+    return L.vocabulary(_freq(s, d)).withColumn("idx", F.col("idx").cast("bigint"))
+
+
+@query("vocab_topk", _score_sql(_grams(3, 5), 100))
+def vocab_topk(s, d):
+    return L.vocabulary(_freq(s, d), top=100).withColumn("idx", F.col("idx").cast("bigint"))
+
+
+@query("vocab_pruned", _score_sql(_PRUNED, 1000, "50"))
+def vocab_pruned(s, d):
+    return L.vocabulary(L.prune_substrings(_freq(s, d)), top=1000, exclusive=50).withColumn("idx", F.col("idx").cast("bigint"))
+
+
+@query("vocab_exclusive", f"WITH f AS ({_grams(3, 5)}) SELECT ngram, n FROM f WHERE cls = 'BIG' AND ngram NOT IN (SELECT ngram FROM f WHERE cls = 'SMALL')")
+def vocab_exclusive(s, d):
+    return L.exclusive_ngrams(_freq(s, d), "BIG")
+
+
+@query("ngram_vector", f"""WITH v AS ({_score_sql(_grams(3, 5), 100)}), g AS (SELECT DISTINCT page_id, substr(token, i::INT, n::INT) AS ngram FROM ({_TOKENS_A}) t, generate_series(1, 400) a(i), generate_series(3, 5) b(n) WHERE i + n - 1 <= length(token))
+SELECT page_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS hits FROM g JOIN v USING (ngram) GROUP BY 1""")
+def ngram_vector(s, d):
+    v = L.ngram_vector(table(s, d, "pages"), "page_id", X.url_tokens_c(F.col("url"), lower=False), L.vocabulary(_freq(s, d), top=100).dropDuplicates(["idx"]), 3, 5)
+    return v.select("page_id", F.array_join(F.transform("hits", lambda i: i.cast("string")), ",").alias("hits"))
+
+
+@query("url_dims")
+def url_dims(s, d):
+    t = table(s, d, "pages").select(F.concat("url", F.lit("/w_75_h_50/"), "page_id", F.lit("x20.jpg")).alias("src"))
+    return t.select("src", X.url_dims(F.col("src")).alias("d")).select("src", "d.*")
+
+
+def _images(s, d):
+    return table(s, d, "pages").select(
+        F.concat(F.lit("http://cdn.example.com/"), F.col("page_id").cast("string"), F.lit("/350x250.png")).alias("src"), F.substring("html", 1, 40).alias("alt"), F.col("url").alias("pageUrl"), F.lit(None).cast("string").alias("parentTxt"),
+        F.lit("img").alias("domElem"), (F.col("page_id") % 7).cast("int").alias("domSib"), (F.col("page_id") % 20).cast("int").alias("domDepth"), "page_id",
+    )
+
+
+@query("features23", "SELECT page_id, 0 AS suffix_jpeg, 1 AS suffix_png, 350 AS width, 250 AS height, 1 AS dom_img, least(40, length(html))::INT AS \"altTextLength\", 0 AS \"parentTextLength\", (length(page_id::VARCHAR) + 35)::INT AS \"urlLength\", (page_id % 20)::INT AS \"f_domDepth\" FROM pages")
+def features23(s, d):
+    return L.features23(_images(s, d)).select("page_id", "suffix_jpeg", "suffix_png", "width", "height", "dom_img", "altTextLength", "parentTextLength", "urlLength", "f_domDepth")
+
+
+@query("label_by_dims", "SELECT p_partkey, CASE WHEN w < 200 AND h < 200 THEN 'SMALL' WHEN w > 400 AND h > 400 THEN 'BIG' END AS label FROM (SELECT p_partkey, p_size * 12 AS w, p_size * 11 AS h FROM part)")
+def label_by_dims(s, d):
+    return table(s, d, "part").select("p_partkey", L.label_by_dims(F.col("p_size") * 12, F.col("p_size") * 11).alias("label"))
+
+
+_MODELS = "SELECT doc_id, quality, (doc_id * 7 % 101) / 100.0::DOUBLE AS p, (doc_id * 13 % 101) / 100.0::DOUBLE AS q FROM labels"
+_ARBITRATED = f"SELECT doc_id, quality, CASE WHEN c1 = c2 THEN c1 WHEN abs(p - (1 - p)) + 0.05::DOUBLE > abs(q - (1 - q)) THEN c1 ELSE c2 END AS predicted FROM (SELECT *, (p > 0.5)::INT AS c1, (q > 0.5)::INT AS c2 FROM ({_MODELS}))"
+
+
+def _arbitrated(s, d):
+    p, q = (F.col("doc_id") * 7 % 101) / 100.0, (F.col("doc_id") * 13 % 101) / 100.0
+    return table(s, d, "labels").select("doc_id", "quality", L.arbitrate((p > 0.5).cast("int"), F.array(p, 1 - p), (q > 0.5).cast("int"), F.array(q, 1 - q)).alias("predicted"))
+
+
+@query("arbitrate", _ARBITRATED)
+def arbitrate(s, d):
+    return _arbitrated(s, d)
+
+
+@query("confusion_f1", f"""WITH c AS (SELECT sum((quality = 1 AND predicted = 1)::INT)::BIGINT AS tp, sum((quality = 0 AND predicted = 1)::INT)::BIGINT AS fp, sum((quality = 1 AND predicted = 0)::INT)::BIGINT AS fn, sum((quality = 0 AND predicted = 0)::INT)::BIGINT AS tn FROM ({_ARBITRATED})),
+f AS (SELECT *, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1_big, round(2.0::DOUBLE * tn / (2 * tn + fp + fn), 6) AS f1_small FROM c) SELECT *, round((f1_big + f1_small) / 2, 6) AS f1_mean FROM f""")
+def confusion_f1(s, d):
+    return L.class_metrics(_arbitrated(s, d), "quality", "predicted")
+
+
+@query("rf_eval")
+def rf_eval(s, d):
+    t = table(s, d, "embeddings")
+    t = t.select((F.col("label") % 2).cast("double").alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(4)).alias("fold"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)))
+    model = L.train_forest(t.filter("fold > 0"), [f"e{i}" for i in range(64)], "y")
+    return L.class_metrics(model.transform(t.filter("fold = 0")).select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("p")), "y", "p")
+
+
+@query("offset_page", "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 10 OFFSET 20")
+def offset_page(s, d):
+    return table(s, d, "pages").select("page_id", "url").orderBy("page_id").offset(20).limit(10)
+
+
+@query("topk_hosts", f"SELECT host, n FROM (SELECT {_HOST_SQL} AS host, count(*) AS n FROM pages GROUP BY 1) ORDER BY n DESC, host LIMIT 20")
+def topk_hosts(s, d):
+    return host_freq(s, d).orderBy(F.desc("n"), "host").limit(20)
+
+
+@query("sorted_distinct_hosts", f"SELECT DISTINCT {_HOST_SQL} AS host FROM pages ORDER BY 1")
+def sorted_distinct_hosts(s, d):
+    return table(s, d, "pages").select(U.host(F.col("url")).alias("host")).distinct().orderBy("host")
+
+
+@query("statistics_report", f"SELECT 'hosts' AS section, {_HOST_SQL} AS elem, count(*) AS n FROM pages GROUP BY 2 UNION ALL SELECT 'totals', 'unique urls', count(DISTINCT url) FROM pages UNION ALL SELECT 'totals', 'unique hosts', count(DISTINCT {_HOST_SQL}) FROM pages")
+def statistics_report(s, d):
+    hosts = host_freq(s, d).select(F.lit("hosts").alias("section"), F.col("host").alias("elem"), "n")
+    t = distinct_hosts(s, d).select(F.explode(F.map_from_arrays(F.array(F.lit("unique urls"), F.lit("unique hosts")), F.array("urls", "hosts"))).alias("elem", "n"))
+    return hosts.unionByName(t.select(F.lit("totals").alias("section"), "elem", "n"))
+
+
+@query("media_extract")
+def media_extract(s, d):
+    return M.extract_media(table(s, d, "pages"))
+
+
+def _groups(s, d):
+    return table(s, d, "embeddings").groupBy((F.col("vec_id") % 50).alias("g")).agg(F.sort_array(F.collect_list("embedding")).alias("descriptors"))  # 1/50 of a small table each
+
+
+@query("vlad_aggregate")
+def vlad_aggregate(s, d):
+    from arachne.operators import vectors as V
+
+    books = [V.codebook(table(s, d, "embeddings"), "embedding", 8, seed=i) for i in range(4)]
+    v = V.vlad(_groups(s, d), "descriptors", books)
+    return v.select("g", F.size("vlad").alias("length"), F.round(F.aggregate("vlad", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+
+
+@query("pca_project")
+def pca_project(s, d):
+    from arachne.operators import vectors as V
+
+    t = table(s, d, "embeddings")
+    return V.project(t, "embedding", V.fit_pca(t, "embedding", 16)).select("vec_id", F.size("projected").alias("length"))
+
+
+@query("ivfpq_codes")
+def ivfpq_codes(s, d):
+    import numpy as np
+
+    from arachne.operators import vectors as V
+
+    t = table(s, d, "embeddings")
+    coarse = V.codebook(t, "embedding", 16)
+    fine = [b for b in np.split(V.codebook(t, "embedding", 32, seed=2) - coarse.mean(0), 8, axis=1)]
+    return V.ivfpq_codes(t.select("vec_id", "embedding"), "embedding", coarse, fine).select("vec_id", "list_id", F.array_join(F.transform("code", lambda c: c.cast("string")), ",").alias("code"))
+
+
+@query("rank_manifest", "SELECT url FROM (SELECT url, row_number() OVER (ORDER BY page_id) AS line FROM pages) WHERE line >= 11 AND line < 21")
+def rank_manifest(s, d):
+    t = table(s, d, "pages").withColumn("line", F.row_number().over(Window.orderBy("page_id")))
+    return t.filter("line >= 11 and line < 21").select("url")
