@@ -167,6 +167,9 @@ def read_archives(files: DataFrame, split: int = 4 << 20) -> DataFrame:
     files of (path, size), which all executors reach. payload: the content after the HTTP headers; without these, all."""
     ranges = files.filter("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split).cast("bigint"))).alias("start"))
 
+    # one task for each range: by their own size these rows would all go to one
+    tasks = max(1, ranges.count())
+
     def read(batches):
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
@@ -183,7 +186,7 @@ def read_archives(files: DataFrame, split: int = 4 << 20) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return ranges.repartition("path", "start").mapInArrow(read, "path string, offset bigint, rec_type string, record_id string, url string, date string, refers_to string, payload_digest string, http_length bigint, payload binary")
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, "path string, offset bigint, rec_type string, record_id string, url string, date string, refers_to string, payload_digest string, http_length bigint, payload binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
