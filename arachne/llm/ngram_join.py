@@ -34,7 +34,7 @@ BITS = 26
 #: Marks in a bitmap at most, so that few are false.
 MARKS = 1 << 21
 #: Shingles a block of a group holds, about.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 _SEGMENT = 1 << 16
 
 
