@@ -34,7 +34,7 @@ BITS = 26
 #: Marks in a bitmap at most, so that few are false.
 MARKS = 1 << 21
 #: Shingles a block of a group holds, about.
-BLOCK = 1 << 17
+BLOCK = 1 << 19
 _SEGMENT = 1 << 16
 
 
@@ -346,19 +346,23 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # a centre stands in every block of its group
     plan = members.join(groups, "centre").select("centre", "key", "blocks", F.explode(F.when(F.col("h1") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(salt))).alias("block"))
     plan = cut(plan)
-    chosen = spark.sparkContext.broadcast(bitmap(members, "h1"))
+    def ordered_sets(wanted: DataFrame) -> DataFrame:
+        """(key, tokens) of the sets whose h1 is in `wanted`, and of a few more that its bitmap can't tell from them."""
+        chosen = spark.sparkContext.broadcast(bitmap(wanted, "h1"))
 
-    def shipped(batches):
-        seen: set = set()
-        for b in batches:
-            keys, tokens = [], []
-            for h1, key, s in distinct_sets(b, seen):
-                if _marked(chosen.value, np.array([h1]).view(np.uint64))[0]:
-                    keys.append(key)
-                    tokens.append(_ordered(s, bits.value).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["key", "tokens"])
+        def shipped(batches):
+            seen: set = set()
+            for b in batches:
+                keys, tokens = [], []
+                for h1, key, s in distinct_sets(b, seen):
+                    if _marked(chosen.value, np.array([h1]).view(np.uint64))[0]:
+                        keys.append(key)
+                        tokens.append(_ordered(s, bits.value).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["key", "tokens"])
+
+        return texts.mapInArrow(shipped, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
-    sets = texts.mapInArrow(shipped, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    sets = ordered_sets(members)
 
     def block_links(batches):
         for t in runs(batches, ("centre", "block")):
@@ -388,6 +392,8 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                     pick = lambda a, at: [a[i] for i in at]
                     yield _pairs([(keys[p[i]], keys[q[j]]) for i, j in cross_links(pick(found, p), pick(marks, p), pick(found, q), pick(marks, q), num, den)])
 
+        # only the sets of groups that are still apart are made and dealt again
+        sets = ordered_sets(dealt.select("key").distinct().join(sizes, "key"))
         run = probes.unionByName(bases).join(sets, "key").repartition("centre", "chunk", "block").sortWithinPartitions("centre", "chunk", "block")
         more = run.select("centre", "chunk", "block", "key", "label", "probe", "tokens").mapInArrow(rest_links, "a binary, b binary")
         labels = components(cut(links.union(more)))
