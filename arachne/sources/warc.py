@@ -3,8 +3,9 @@
     spark.dataSource.register(WarcDataSource)
     spark.read.format("warc").load("data/*.warc.gz")
 
-Options: content=false leaves payloads out. Each file is one partition, as it need not be compressed by record; a filter on
-rec_type or mimetype is applied before the payload is copied.
+Options: content=false leaves payloads out. Each file is one partition, as it need not be compressed by record. With
+pushdown=true, which needs spark.sql.python.filterPushdown.enabled, equality on rec_type or mimetype is tested before rows
+are made.
 """
 
 from __future__ import annotations
@@ -72,13 +73,6 @@ class _WarcReader(DataSourceReader):
     def __init__(self, paths: list[str], content: bool):
         self.paths, self.content, self.only = paths, content, {}
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("rec_type",), ("mimetype",)):
-                self.only[f.attribute[0]] = f.value
-            else:
-                yield f
-
     def partitions(self):
         return [_File(p) for p in self.paths]
 
@@ -91,6 +85,15 @@ class _WarcReader(DataSourceReader):
                 yield partition.path, n, kind, header(headers, "WARC-Target-URI"), mimetype, header(headers, "WARC-Date"), content_length(headers), headers, content if self.content else None
 
 
+class _FilteringReader(_WarcReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in (("rec_type",), ("mimetype",)):
+                self.only[f.attribute[0]] = f.value
+            else:
+                yield f
+
+
 class WarcDataSource(DataSource):
     """Files by comma-separated paths or patterns, in any folder that all executors see."""
 
@@ -103,4 +106,5 @@ class WarcDataSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         paths = [q for p in self.options["path"].split(",") for q in sorted(glob.glob(p.strip().removeprefix("file://")))]
-        return _WarcReader(paths, self.options.get("content", "true").lower() != "false")
+        kind = _FilteringReader if self.options.get("pushdown", "false").lower() == "true" else _WarcReader
+        return kind(paths, self.options.get("content", "true").lower() != "false")

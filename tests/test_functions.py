@@ -119,3 +119,7 @@ def test_warc_source(spark, tmp_path):
     df = spark.read.format("warc").load(f"{tmp_path}/*.warc.gz")
     assert [(r.rec_no, r.rec_type, bytes(r.content)) for r in df.orderBy("rec_no").collect()] == [(0, "response", b"HTTP/1.1 200 OK\r\n\r\n<p>"), (1, "metadata", b"{}")]
     assert df.filter("mimetype = 'application/json'").count() == 1
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    pushed = spark.read.format("warc").option("pushdown", "true").load(f"{tmp_path}/*.warc.gz")
+    assert [r.rec_no for r in pushed.filter("mimetype = 'application/json'").collect()] == [1]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
