@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,22 +85,23 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - m] + other[:m]
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 8_000_000) -> tuple[DataFrame, int]:
+def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 8_000_000, most: int = 1 << 15) -> tuple[DataFrame, int]:
     """Texts dealt by ranges of ids, with the first row of the next lower range as a guest in each.
 
     (bucket, id, text, guest): a range's rows and then, with guest true, the row that follows its last in descending
-    order; the lowest range is followed by the highest row. And the number of ranges.
+    order; the lowest range is followed by the highest row. And the number of ranges: one for each target_bytes of text,
+    `most` at most, beyond which ranges grow (a task reads its range as a stream, so that costs no memory).
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n, volume = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    buckets = max(1, int((volume or 0) // target_bytes))
+    buckets = max(1, min(most, int((volume or 0) // target_bytes)))
     spark = docs.sparkSession
     if n and buckets > 1:
         cuts = sorted(set(texts.filter("id is not null").approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
     else:
         cuts = []
     # null ids come last in descending order: the lowest bucket
-    bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_between("id", cuts) + 1) if cuts else F.lit(0)
+    bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_between(F.col("id"), cuts) + 1) if cuts else F.lit(0)
     placed = texts.withColumn("bucket", bucket.cast("int"))
     ends = placed.groupBy("bucket").agg(F.max("id").alias("top")).orderBy("bucket").collect() if cuts else []  # a row per bucket
     if not ends:
@@ -111,16 +113,15 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return placed.select("bucket", "id", "text", F.lit(False).alias("guest")).unionByName(guests), len(cuts) + 1
 
 
-def _between(column: str, cuts: list) -> Column:
-    """How many of the sorted cuts are at most the column's value, by a balanced tree of comparisons."""
+def _between(column: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are at most the column's value. Only the ids go to Python for it, not the texts."""
+    at = np.array(cuts, dtype=float)
 
-    def tree(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(F.col(column) < F.lit(cuts[m]), tree(a, m)).otherwise(tree(m + 1, b))
+    @F.pandas_udf("int")
+    def below(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, ids.to_numpy(dtype=float, na_value=np.nan), side="right"))
 
-    return tree(0, len(cuts))
+    return below(column)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -321,6 +321,23 @@ def test_fingerprints(spark):
     assert syncmers.fingerprints(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 15, 3])
+def test_fingerprints_of_many_ranges_are_those_of_one(spark, monkeypatch, most):
+    """Ranges of some 2 KB, or three at most; with null ids, and ids that stand apart."""
+    docs = frame(spark, corpus()).withColumn("doc_id", F.when(F.col("doc_id") % 50 != 7, F.col("doc_id") * F.col("doc_id") - 900))
+    docs = docs.filter("source = 'c' or doc_id <> -891").dropDuplicates(["doc_id", "text"])
+    one = sorted(map(str, syncmers.fingerprints(docs).collect()))
+    few, whole = [], syncmers.neighbours
+
+    def small(*a, **b):
+        few.append(whole(*a, **b, target_bytes=2000, most=most))
+        return few[-1]
+
+    monkeypatch.setattr(syncmers, "neighbours", small)
+    assert sorted(map(str, syncmers.fingerprints(docs).collect())) == one
+    assert few[0][1] == 3 if most == 3 else few[0][1] > 10
+
+
 def test_syncmers_by_brute_force():
     text = corpus()[0] * 3
     k, s = 20, 6
