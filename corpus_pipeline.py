@@ -20,7 +20,7 @@ from arachne.llm.ngram_join import link_components
 from arachne.llm.packing import pack
 from arachne.llm.pii import fit_secrets, redact
 from arachne.llm.queries import vocabulary
-from arachne.llm.shared import shared_dir
+from arachne.llm.shared import cut, shared_dir
 
 LEAST_QUALITY = 0.5
 
@@ -31,9 +31,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = link_components(docs, k=5, num=80, den=100)
-    gone = linked.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents with a null id or without words stay. Rows of one id go if all of them are linked to a lesser id; of rows
+    with one id and text one stays."""
+    linked = link_components(docs, k=5, num=80, den=100).filter("doc_id is not null")
+    ids = cut(linked.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1"))
+    kept = docs.join(ids.filter("gone").select("doc_id"), "doc_id", "left_anti")
+    repeated = ids.filter("not gone").select("doc_id")
+    if repeated.head(1):
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
