@@ -6,6 +6,8 @@ through a logistic curve fitted on labelled rows that trained no dictionary.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,8 @@ class Compressors:
             known.precompute_compress(level=level)
             self.of.append(z.ZstdCompressor(level=level, dict_data=known, write_content_size=False))
 
-    def difference(self, text: bytes) -> float:
-        """How much smaller the good dictionary makes a text than the bad one, in parts of its size; 0 if empty."""
+    def difference(self, text: bytes | pa.Buffer | None) -> float:
+        """How much smaller the good dictionary makes a text than the bad one, in parts of its size; 0 if null or empty."""
         if not text:
             return 0.0
         good, bad = (len(c.compress(text)) for c in self.of)
@@ -100,18 +102,14 @@ def score_compression(docs: DataFrame, model: dict, text_col: str = "text") -> D
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches):
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = all(sent.value["dictionaries"])
         c = Compressors(sent.value["dictionaries"]) if known else None
         w = sent.value["weights"]
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            d = np.array([c.difference(t or b"") for t in texts] if known else [0.0] * len(texts), dtype=float)
-            p = 1 / (1 + np.exp(-np.clip(w[0] + d * w[1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in b.schema.names[1:]), pa.array(p)], [*b.schema.names[1:], "score"])
-
-    others = [c for c in docs.columns if c != "score"]
-    names = [f"c{i}" for i in range(len(others))]
-    renamed = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)))
-    out = renamed.mapInArrow(scored, ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(others, names, strict=True)) + ", score double")
-    return out.toDF(*others, "score")
+        for texts in columns:
+            d = np.array([c.difference(t.as_buffer()) for t in texts.cast(pa.binary())] if known else [0.0] * len(texts), dtype=float)
+            yield pa.array(1 / (1 + np.exp(-np.clip(w[0] + d * w[1], -30, 30))))
+
+    # the texts alone go to Python, once, and only scores come back
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
+    return docs.select(*others, F.arrow_udf(scored, "double")(F.col(text_col).cast("string")).alias("score"))
