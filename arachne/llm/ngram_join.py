@@ -8,7 +8,8 @@ A document is the set of its distinct k-word shingles. Two documents link when d
    for every document alike, so results do not depend on the bitmap.)
 3. Linked sets share a shingle among the first n - ceil(n * num / den) + 1 of either. Each shingle there gives its
    sets the least of them as centre; the distinct (centre, set) pairs are the groups. Both ends of every link are
-   in one group at least.
+   in one group at least. Many postings of one shingle in a batch are posted as one range of sizes, and join its centre
+   afterwards by the range's name, so a shingle of a third of all sets sends a task a few numbers a batch.
 4. A group, in blocks of bounded size, goes into a prefix tree of its ordered sets. Each set walks the tree: the overlap
    with a shared path is counted once, and a subtree ends the walk where the overlap so far and what remains of both
    cannot reach the bound, or where all its sets are in the walker's component already. A walk that reaches a leaf has
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ BITS = 26
 MARKS = 1 << 21
 #: Shingles a block of a group holds, about.
 BLOCK = 1 << 19
+#: So many postings of a shingle and of sizes that can link, in one batch, are posted as one.
+LOCAL = 16
 _SEGMENT = 1 << 16
 
 
@@ -212,9 +216,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _dealt(tokens: np.ndarray, shift: np.uint64, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row for each part of the hash space that sorted `tokens` reach, its columns cut alike and packed."""
-    part = (tokens >> shift).astype(np.int64)
+def _size_runs(tokens: np.ndarray, least: np.ndarray, most: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Where runs start: of one token, sizes from `least` to `most` (sorted by token and least) of which each can link with
+    one before it. What stands for many sizes of one run starts and ends runs as they would."""
+    if not len(tokens):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(tokens), dtype=bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    base = np.cumsum(new) << 32
+    reached = np.maximum.accumulate(base + most.astype(np.int64)) - base
+    new[1:] |= den * reached[:-1] < num * least[1:].astype(np.int64)
+    return np.flatnonzero(new)
+
+
+def _kinds(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), _signed(a), _signed(b)], ["kind", "a", "b"])
+
+
+def _dealt(tokens: np.ndarray, shift: np.uint64, columns: dict[str, np.ndarray], after: int = 0) -> Iterator[pa.RecordBatch]:
+    """One row for each part of the hash space that sorted `tokens` reach, its columns cut alike and packed; `after` is
+    added to the numbers of parts."""
+    if not len(tokens):
+        return
+    part = (tokens >> shift).astype(np.int64) + after
     cuts = np.flatnonzero(np.diff(part)) + 1
     firsts = [0, *cuts.tolist()]
     rows = [pa.array([int(part[i]) for i in firsts], pa.int32())]
@@ -306,39 +330,66 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             if cols[0]:
                 tokens, owners, n, at = map(np.concatenate, cols)
                 tokens = mix(tokens)
-                by = np.argsort(tokens)
-                yield from _dealt(tokens[by], shift, {"tokens": tokens[by], "owners": owners[by], "n": n[by], "at": at[by]})
+                by = np.lexsort((n, tokens))
+                tokens, owners, n, at = tokens[by], owners[by], n[by], at[by]
+                starts = _size_runs(tokens, n, n, num, den)
+                lengths = np.diff(np.append(starts, len(tokens)))
+                many = lengths >= LOCAL
+                alone = ~np.repeat(many, lengths)
+                none = np.zeros(0, np.uint64)
+                yield from _dealt(tokens[alone], shift, {"tokens": tokens[alone], "owners": owners[alone], "n": n[alone], "at": at[alone], "names": none})
+                if many.any():
+                    # a run's name comes from its shingle and its members
+                    names = mix(tokens[starts] ^ mix(np.add.reduceat(mix(owners.view(np.uint64)), starts)))[many]
+                    first, last = starts[many], (starts + lengths - 1)[many]
+                    yield from _dealt(tokens[first], shift, {"tokens": tokens[first], "owners": np.minimum.reduceat(owners, starts)[many], "n": n[first], "at": n[last], "names": names})
+                    names, owners = np.repeat(names, lengths[many]), owners[~alone]
+                    by = np.argsort(names)
+                    yield from _dealt(names[by], shift, {"tokens": names[by], "owners": owners[by], "n": none, "at": none, "names": none}, parts)
 
     def centred(batches):
+        """kind 0: a centre and a set; 1: a centre and the name of a run; 2: the name of a run and a set."""
         for t in runs(batches, ("part",)):
-            tokens, owners = _joined(t, "tokens", np.uint64), _joined(t, "owners", np.int64)
+            if t.column("part")[0].as_py() >= parts:
+                yield _kinds(2, _joined(t, "tokens", np.uint64), _joined(t, "owners", np.int64))
+                continue
+            whole = pc.greater(pc.binary_length(t.column("names")), 0)
+            t = pa.concat_tables([t.filter(pc.invert(whole)), t.filter(whole)])
+            tokens, owners, names = _joined(t, "tokens", np.uint64), _joined(t, "owners", np.int64), _joined(t, "names", np.uint64)
             n, at = _joined(t, "n", np.uint32).astype(np.int64), _joined(t, "at", np.uint32).astype(np.int64)
-            by = np.lexsort((owners, n, tokens))
-            tokens, owners, n, at = tokens[by], owners[by], n[by], at[by]
+            names = np.concatenate([np.zeros(len(tokens) - len(names), np.uint64), names])
+            local = np.arange(len(tokens)) >= len(tokens) - len(_joined(t, "names", np.uint64))
+            by = np.lexsort((local, owners, n, tokens))
+            tokens, owners, n, at, names, local = tokens[by], owners[by], n[by], at[by], names[by], local[by]
             # a copy that another task met; then runs of one shingle whose neighbours in size can link
             new = np.ones(len(tokens), dtype=bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
-            tokens, owners, n, at = tokens[new], owners[new], n[new], at[new]
-            fresh = np.ones(len(tokens), dtype=bool)
-            fresh[1:] = (tokens[1:] != tokens[:-1]) | (den * n[:-1] < num * n[1:])
-            starts = np.flatnonzero(fresh)
-            lengths = np.diff(np.append(starts, len(tokens)))
+            new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1]) | local[1:]
+            tokens, owners, n, at, names, local = tokens[new], owners[new], n[new], at[new], names[new], local[new]
+            if not len(tokens):
+                continue
+            starts = _size_runs(tokens, n, np.where(local, at, n), num, den)
+            rows = np.diff(np.append(starts, len(tokens)))
+            lengths = np.add.reduceat(np.where(local, LOCAL, 1), starts)
             # of a run of two: this shingle and all that follow it must suffice
             two = starts[lengths == 2]
             reach = np.minimum(n[two] - at[two], n[two + 1] - at[two + 1])
             lengths[np.flatnonzero(lengths == 2)[(num + den) * reach < num * (n[two] + n[two + 1])]] = 1
-            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
-            centre = np.minimum.reduceat(owners, starts)[run] if len(starts) else owners
-            apart = (lengths[run] > 1) & (owners != centre)
+            run = np.repeat(np.arange(len(starts)), rows)
+            centre = np.minimum.reduceat(owners, starts)[run]
+            yield _kinds(1, centre[local], names[local])
+            apart = (lengths[run] > 1) & (owners != centre) & ~local
             centre, owners = centre[apart], owners[apart]
             by = np.lexsort((owners, centre))
             centre, owners = centre[by], owners[by]
             fresh = np.ones(len(owners), dtype=bool)
             fresh[1:] = (centre[1:] != centre[:-1]) | (owners[1:] != owners[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(centre[fresh]), pa.array(owners[fresh])], ["centre", "h1"])
+            yield _kinds(0, centre[fresh], owners[fresh])
 
-    near = texts.mapInArrow(postings, "part int, tokens binary, owners binary, n binary, at binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(centred, "centre bigint, h1 bigint")
-    near = cut(near.distinct())
+    posted = texts.mapInArrow(postings, "part int, tokens binary, owners binary, n binary, at binary, names binary").repartition(parts, "part").sortWithinPartitions("part")
+    posted = cut(posted.mapInArrow(centred, "kind int, a bigint, b bigint"))
+    named_runs = posted.filter("kind = 1").select(F.col("b").alias("run"), F.col("a").alias("centre")).distinct()
+    by_run = posted.filter("kind = 2").select(F.col("a").alias("run"), F.col("b").alias("h1")).join(named_runs, "run").select("centre", "h1").filter("centre <> h1")
+    near = cut(posted.filter("kind = 0").select(F.col("a").alias("centre"), F.col("b").alias("h1")).union(by_run).distinct())
     everyone = near.union(near.select("centre", F.col("centre").alias("h1")).distinct())
     members = cut(everyone.join(sizes, "h1").select("centre", "key", "h1", "n"))
     groups = members.groupBy("centre").agg((F.floor(F.sum("n") / F.lit(BLOCK)) + 1).cast("int").alias("blocks"))
