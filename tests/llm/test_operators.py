@@ -87,6 +87,40 @@ def test_ngram_join_in_many_blocks(spark, monkeypatch):
     assert got == brute_components(texts, 2, 85, 100)
 
 
+def test_ngram_join_where_many_texts_share_a_shingle(spark):
+    """More near copies in a batch than are posted one by one, of drifting sizes, so links cross the runs of batches and tasks."""
+    r = random.Random(8)
+    texts = []
+    for i in range(90):
+        words = [f"w{j}" for j in range(30 + i % 25)]
+        words[r.randrange(len(words))] = f"n{i % 40}"
+        texts.append(" ".join(words))
+    docs = frame(spark, texts).repartition(3)
+    for k, num, den in ((2, 85, 100), (1, 95, 100)):
+        got = {x[0]: (x[1], x[2]) for x in ngram_join.link_components(docs, k, num, den).collect()}
+        assert got == brute_components(texts, k, num, den)
+
+
+def test_runs_of_sizes_are_those_of_their_members():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        tokens = np.sort(rng.integers(0, 3, 30)).astype(np.uint64)
+        n = rng.integers(1, 60, 30)
+        by = np.lexsort((n, tokens))
+        tokens, n = tokens[by], n[by]
+        starts = ngram_join._size_runs(tokens, n, n, 85, 100)
+        assert starts.tolist() == [i for i in range(30) if not i or tokens[i] != tokens[i - 1] or 100 * n[i - 1] < 85 * n[i]]
+        # each task sends its own runs as ranges; their runs cover the same sizes
+        rows = []
+        for task in range(2):
+            t, m = tokens[task::2], n[task::2]
+            at = [*ngram_join._size_runs(t, m, m, 85, 100).tolist(), len(t)]
+            rows += [(int(t[a]), int(m[a]), int(m[z - 1])) for a, z in zip(at[:-1], at[1:], strict=True)]
+        rows = np.array(sorted(rows))
+        ranged = ngram_join._size_runs(rows[:, 0].astype(np.uint64), rows[:, 1], rows[:, 2], 85, 100)
+        assert [tuple(x) for x in rows[ranged, :2].tolist()] == list(zip(tokens[starts].tolist(), n[starts].tolist(), strict=True))
+
+
 def test_trie_finds_all_components():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 10**6, 40)).astype(np.uint64) for _ in range(6)]
