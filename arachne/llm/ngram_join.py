@@ -12,8 +12,8 @@ A document is the set of its distinct k-word shingles. Two documents link when d
    afterwards by the range's name, so a shingle of a third of all sets sends a task a few numbers a batch.
 4. A group, in blocks of bounded size, goes into a prefix tree of its ordered sets. Each set walks the tree: the overlap
    with a shared path is counted once, and a subtree ends the walk where the overlap so far and what remains of both
-   cannot reach the bound, or where all its sets are in the walker's component already. A walk that reaches a leaf has
-   its exact intersection.
+   cannot reach the bound, or where all its sets are in the walker's component already. A walk that reaches the
+   end of a set, a leaf or a node that longer sets begin with, has its exact intersection.
 5. Links join into components by least label with shortcuts. A group of several blocks whose sets aren't all in one
    component yet compares the sets outside its largest component with all its blocks, so no link is lost.
 """
@@ -93,7 +93,8 @@ class _Trie:
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.sets = [sets[i] for i in self.order]
         self.size = np.array([len(s) for s in self.sets], dtype=np.int64)
-        # node: first and last set, depth where its path begins and ends, children
+        # node: first and last set, depth where its path begins and ends, children; of a node whose path is a whole set
+        # that set is the first
         self.nodes: list[list] = []
         self.root = self._build()
 
@@ -158,10 +159,9 @@ class _Trie:
                 left = nx - int(np.searchsorted(x, part[-1], side="right"))
             if (num + den) * (overlap + min(left, most - end)) < num * (nx + least):
                 continue
-            if not children:
-                if first >= after and (num + den) * overlap >= num * (nx + least):
-                    yield first
-                continue
+            # a set that ends here; others may begin with it
+            if self.size[first] == end and first >= after and (num + den) * overlap >= num * (nx + end):
+                yield first
             stack.extend((c, overlap) for c in children)
 
 

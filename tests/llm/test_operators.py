@@ -147,6 +147,48 @@ def test_trie_finds_all_components():
     assert same(parent) == same(own)
 
 
+def test_trie_finds_sets_that_begin_others():
+    """All links that a walk may give, where sets are prefixes of others: from before and from after them, and from probes."""
+    r = random.Random(11)
+    links = lambda a, b: 100 * len({*a} & {*b}) >= 85 * len({*a} | {*b})
+
+    def reached(pairs, labels):
+        at = list(labels)
+        for i, j in pairs:
+            at = [at[i] if x == at[j] else x for x in at]
+        return {frozenset(k for k, x in enumerate(at) if x == y) for y in at}
+
+    for _ in range(60):
+        found = set()
+        for _ in range(3):
+            base = sorted(r.sample(range(100, 1000), r.randint(6, 24)))
+            for _ in range(4):
+                a = sorted({*base[: len(base) - r.randint(0, 2)]} - {r.choice(base)} | {r.randrange(100)} if r.random() < 0.5 else {*base})
+                found |= {tuple(a), *(tuple(a + list(range(2000, 2000 + n))) for n in (r.randint(1, 3), r.randint(1, 4)))}
+        sets = [np.array(x, np.uint64) for x in sorted(found, key=lambda x: r.random())]
+        n = len(sets)
+        want = [(i, j) for i in range(n) for j in range(i) if links(sets[i].tolist(), sets[j].tolist())]
+        got = ngram_join.trie_links(sets, 85, 100)
+        assert all((max(x), min(x)) in want for x in got)
+        assert reached(got, range(n)) == reached(want, range(n))
+        half = n // 2
+        want = [(i, j) for i, j in want if j < half <= i]
+        got = [(half + p, j) for p, j in ngram_join.cross_links(sets[half:], list(range(half, n)), sets[:half], list(range(half)), 85, 100)]
+        assert all(x in want for x in got)
+        assert reached(got, range(n)) == reached(want, range(n))
+
+
+def test_ngram_join_where_a_set_begins_another(spark):
+    """The chain X - A - M, of which only A links with both: M is A and a footer that more texts share, X sorts before A."""
+    texts = []
+    for seed in range(400):
+        footer = [f"f{seed % 10}v{i}" for i in range(3)]
+        a = [f"a{seed}x{i}" for i in range(20)]
+        texts += [" ".join(w) for w in (a, [*a, *footer], [*a[:-1], f"e{seed}"])]
+    got = {x[0]: (x[1], x[2]) for x in ngram_join.link_components(frame(spark, texts), 1, 85, 100).collect()}
+    assert got == brute_components(texts, 1, 85, 100)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
