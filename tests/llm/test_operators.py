@@ -467,6 +467,24 @@ def test_compression(spark):
     assert compression.score_compression(empty(spark), model).count() == 0
 
 
+def classed_prose(seed=6):
+    """A maker of texts by class and size: phrases of the class among words that both classes have."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9))) for _ in range(3000)]
+    own = [[" ".join(r.choices(words, k=4)) for _ in range(150)] for _ in range(2)]
+    return lambda y, size, share=0.3: " ".join(r.choice(own[y]) if r.random() < share else " ".join(r.choices(words, k=4)) for _ in range(size // 28))
+
+
+def test_compression_of_long_texts(spark):
+    """A long text's whole content counts, so texts of either class score on their side at any size."""
+    prose = classed_prose()
+    texts = [prose(i % 2, 3000) for i in range(160)] + [prose(i % 2, n) for n in (20_000, 400_000, 1_000_000) for i in range(2)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(160)], "doc_id bigint, quality int, toxic int")
+    rows = {x.doc_id: x.score for x in compression.score_compression(docs, compression.fit_compression(docs, labels)).collect()}
+    assert all(rows[i] > 0.9 if i % 2 else rows[i] < 0.1 for i in range(160, 166)), {i: rows[i] for i in range(160, 166)}
+
+
 def test_vocabulary_file_is_the_library_s():
     with open(vocabulary()) as f:
         assert len(json.load(f)["model"]["vocab"]) >= len(packing._ranks(vocabulary())) > 50_000
