@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arachne.llm.labelled import labelled_sample
@@ -67,18 +67,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3
     return w
 
 
-def fit_compression(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample_rows: int = 4000, dictionary: int = 112_640, head: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def fit_compression(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample_rows: int = 4000, dictionary: int = 112_640, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Dictionaries and curve from at most `sample_rows` labelled rows of each class that `where` admits.
 
-    A half of them, chosen by hash, trains the dictionaries (with `head` bytes of a text at most), the others, whole,
-    fit the curve. Where a class has no rows in either half every score is 0.5.
+    A half of them, chosen by hash, trains the dictionaries, the others fit the curve. Texts are cut into blocks to train
+    on; of a class's blocks, wherever they stand in their texts, `sample_rows` at most are taken by hash. Where a class has no rows in either half every score is 0.5.
     """
     none = {"dictionaries": (b"", b""), "weights": np.zeros(2)}
     sample = labelled_sample(docs, labels, "quality", sample_rows, where, id_col, text_col)
     even = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)) == 0
-    heads = sample.filter(even).select("id", "y", F.expr(f"substring(cast(text as binary), 1, {head})").alias("head")).collect()
-    heads.sort(key=lambda r: (str(r["id"]), bytes(r["head"])))
-    dictionaries = tuple(build_dictionary([bytes(r["head"]) for r in heads if r["y"] == y], dictionary) for y in (1, 0))
+    cut = sample.filter(even).select("id", "y", F.expr("cast(text as binary)").alias("whole"))
+    cut = cut.select("id", "y", "whole", F.explode(F.expr(f"sequence(0, cast(greatest(octet_length(whole) - 1, 0) div {BLOCK} as int))")).alias("k"))
+    cut = cut.select("id", "y", "k", F.expr(f"substring(whole, k * {BLOCK} + 1, {BLOCK})").alias("block"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id", "k", F.lit(7)), "id", "k", "block")
+    blocks = cut.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_rows).drop("place").collect()
+    blocks.sort(key=lambda r: (str(r["id"]), r["k"], bytes(r["block"])))
+    dictionaries = tuple(build_dictionary([bytes(r["block"]) for r in blocks if r["y"] == y], dictionary) for y in (1, 0))
     if not all(dictionaries):
         return none
 

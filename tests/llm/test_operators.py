@@ -485,6 +485,16 @@ def test_compression_of_long_texts(spark):
     assert all(rows[i] > 0.9 if i % 2 else rows[i] < 0.1 for i in range(160, 166)), {i: rows[i] for i in range(160, 166)}
 
 
+def test_compression_learns_from_whole_texts(spark):
+    """What marks a class stands only after the first 20 KB of the labelled texts."""
+    prose = classed_prose()
+    texts = [prose(0, 20_000, 0) + " " + prose(i % 2, 8000) for i in range(80)] + [prose(i % 2, 3000) for i in range(40)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id bigint, quality int, toxic int")
+    rows = {x.doc_id: x.score for x in compression.score_compression(docs, compression.fit_compression(docs, labels)).collect()}
+    assert all(rows[i] > 0.8 if i % 2 else rows[i] < 0.2 for i in range(80, 120)), {i: rows[i] for i in range(80, 120)}
+
+
 def test_vocabulary_file_is_the_library_s():
     with open(vocabulary()) as f:
         assert len(json.load(f)["model"]["vocab"]) >= len(packing._ranks(vocabulary())) > 50_000
