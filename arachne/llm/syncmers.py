@@ -1,7 +1,8 @@
 """Document fingerprints of closed syncmers.
 
 A k-mer of code points is chosen if the least hash among its inner s-mers is that of its first or its last one. Whether it is
-chosen depends on its own characters alone, so a passage keeps its anchors wherever it stands. The fingerprint is the
+chosen depends on its own characters alone, so a passage keeps its anchors wherever it stands. A text of 2k - s - 1 code points or
+more has at least one; where a shorter one has none, its k-mer of least hash is its anchor. The fingerprint is the
 list of all anchors with their positions. Two fingerprints are as alike as the share of anchors that match in one
 alignment: of the common anchors' offsets the most frequent one counts.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from arachne.llm.hashing import U, mix, powers
 
-K, S = 64, 16
+K, S = 20, 6
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -32,8 +33,8 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
-    """Rows of (hash, position), by position, as 32-bit numbers. A text shorter than k has itself as its only anchor, an
-    empty one none."""
+    """Rows of (hash, position), by position, as 32-bit numbers. A text shorter than k has itself as its only anchor, one
+    without a syncmer its k-mer of least hash, an empty one none."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     n = len(points)
     if not n:
@@ -48,7 +49,7 @@ def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
     low = _least(small, width)
     chosen = np.flatnonzero((small[: len(low)] == low) | (small[width - 1 :] == low))
     if not len(chosen):
-        return np.zeros((0, 2), np.uint32)
+        chosen = np.array([int(np.argmin(mix((sums[k:] - sums[: n + 1 - k]) * down[: n + 1 - k])))])
     h = mix((sums[chosen + k] - sums[chosen]) * down[chosen]) >> U(32)
     return np.stack([h, chosen.astype(np.uint64)], axis=1).astype(np.uint32)
 
@@ -139,6 +140,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def marked(batches):
         bucket = first = held = None
         out: list[tuple] = []
+        volume = 0
 
         def row(doc, following):
             i, text, a = doc
@@ -168,8 +170,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     out.append(row(held, doc))
                 held = None if guest else doc
                 first = first or doc
-                if len(out) >= 500:
+                volume += len(text)
+                if len(out) >= 500 or volume >= 1_000_000:  # fingerprints are some four times their text
                     yield batch(ids_type)
+                    volume = 0
         if held is not None:
             out.append(row(held, first))
         if out:

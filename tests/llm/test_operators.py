@@ -430,6 +430,22 @@ def test_syncmers_by_brute_force():
     assert syncmers.likeness(syncmers.anchors(long, k, s), moved) > 0.9
 
 
+def test_only_empty_texts_have_empty_fingerprints():
+    """At the query's own sizes: texts of any length have an anchor, of their own; light edits keep most, unrelated texts share none."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 8))) for _ in range(2000)]
+    text = lambda n: " ".join(r.choices(words, k=n))[:n]
+    assert not len(syncmers.anchors(""))
+    for n in [*range(1, 130)] * 4:
+        a, b = text(n), text(n)
+        assert len(syncmers.anchors(a)) and (a == b or syncmers.likeness(syncmers.anchors(a), syncmers.anchors(b)) < 0.5)
+    for every, least in ((20, 0.7), (10, 0.4)):
+        whole = r.choices(words, k=600)
+        changed = [r.choice(words) if i % every == every // 2 else w for i, w in enumerate(whole)]
+        x, y = ({*syncmers.anchors(" ".join(w))[:, 0].tolist()} for w in (whole, changed))
+        assert len(x & y) > least * len(x)
+
+
 def test_warc(spark, tmp_path):
     html = [None, "", "same", "other", "same", "é" * 50_000, "WARC/1.0\r\n\r\n", "\x1f\x8b\x08 not a member", "same"]
     pages = spark.createDataFrame([(i, f"http://a.com/\r\n{i}" if i else None, h, "x", 1) for i, h in enumerate(html)] + [(None, None, "other", "x", 1)], "page_id bigint, url string, html string, digest string, size int")
