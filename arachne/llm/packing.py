@@ -38,9 +38,21 @@ def _ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
 
 
+def _added(path: str) -> dict[str, int]:
+    """The file's added tokens and their ids, which the library takes out of a text before anything else."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", ())
+    odd = [t["content"] for t in found if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if odd:
+        raise ValueError(f"added tokens that match by more than their text aren't handled: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 class Encoder(dict):
     """Texts to ids, packed as unsigned little-endian 32-bit numbers.
 
+    Unless `encode_special_tokens` (the library's option of that name) an added token in a text is its own id.
+
     The pattern never joins a space that stands before other text with what is left of it, so a text is cut there and
     each part's ids are kept: most parts are words that occur again.
     """
@@ -48,10 +60,13 @@ class Encoder(dict):
     KEEP = 300_000
     LONGEST = 64
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import tiktoken
 
         super().__init__()
+        added = {} if encode_special_tokens else _added(path)
+        self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.raw = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={}).encode_ordinary
 
     def ids(self, part: str) -> bytes:
@@ -78,6 +93,11 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        if self.apart is None or not self.apart.search(text):
+            return self.plain(text)
+        return b"".join(self.added[t] if t in self.added else self.plain(t) for t in self.apart.split(text))
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         parts = (_SPLIT.split if _APART.search(text) else lambda t: t.split(" "))(text)
@@ -85,7 +105,7 @@ class Encoder(dict):
         return head + b"".join(map(self.__getitem__, parts[1:]))
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32, and the task that made it with its rank there by length.
 
     A text longer than the capacity is cut so that its first piece may be shorter and all others are full.
@@ -93,7 +113,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches):
-        encoder, task, ranks = Encoder(path), TaskContext.get().partitionId(), Counter()
+        encoder, task, ranks = Encoder(path, encode_special_tokens), TaskContext.get().partitionId(), Counter()
         tail = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows, out = [], ([], [], [], [], [])
@@ -187,13 +207,14 @@ def _places(bins: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return {k: np.array([r[i] for r in rows], dtype=np.int64) for i, k in enumerate(("length", "first", "sequence", "offset"))}
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of docs.
 
     Null and empty texts have the end id alone. Repeated rows and ids are packed once each. A null id stays null. Other
-    columns are ignored. No rows: no sequences.
+    columns are ignored. No rows: no sequences. `encode_special_tokens` is the tokenizers library's: true spells added
+    tokens in texts out, false (the library's default) gives them their ids.
     """
-    pieces = cut(token_pieces(docs, path, capacity, end_id, id_col, text_col))
+    pieces = cut(token_pieces(docs, path, capacity, end_id, id_col, text_col, encode_special_tokens))
     tasks = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = tasks.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most

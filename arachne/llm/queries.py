@@ -29,7 +29,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
+    return pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0, encode_special_tokens=False)
 
 
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

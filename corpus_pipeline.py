@@ -52,7 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary())
+    return pack(docs, vocabulary(), encode_special_tokens=False)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mixture", mixture), ("packing", packing)]

@@ -214,6 +214,22 @@ def test_packing(spark):
     assert packing.pack(empty(spark), vocabulary()).count() == 0
 
 
+def test_packing_takes_added_tokens_as_the_library_does(spark, tmp_path):
+    """The query and the pipeline's stage, against tokenizers in its default setting."""
+    import corpus_pipeline
+    from arachne.llm.queries import op1_packing
+    from tokenizers import Tokenizer
+
+    e = "<|endoftext|>"
+    texts = [f"end of page {e} next", f"a{e}b  {e}", f"{e}{e}\n\n {e}  x", e, f" {e} ", "<|endoftext|", f"<|endof{e}text|>", f"it's\n{e}\n5'll ", None, "", "plain words"]
+    t = Tokenizer.from_file(vocabulary())
+    want = {(i, 0, 0, len(x.ids) + 1, zlib.crc32(np.array(x.ids + [0], "<u4").tobytes())) for i, x in enumerate(t.encode_batch([x or "" for x in texts], add_special_tokens=False))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (op1_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, "")):
+        assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows.collect()} == want
+
+
 def test_bins_pair_large_items():
     bins = packing.plan_bins({70: 3, 60: 2, 40: 5, 30: 4, 10: 7}, 100)
     assert Counter({n: sum(c * i.count(n) for i, c in bins) for n in (70, 60, 40, 30, 10)}) == Counter({70: 3, 60: 2, 40: 5, 30: 4, 10: 7})
