@@ -47,12 +47,15 @@ def decoded(u: Column) -> Column:
 
 
 def _plain_url(u: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(u, r"^http[^:]*://", ""), r"\.[^.]{0,4}$", "")
+    """Without what `http` begins up to the first `://` (without one, less its first two characters) and without what
+    follows the last dot, if that is four characters at most."""
+    bare = F.when(u.startswith("http"), F.substring(u, F.instr(u, "://") + 3, F.length(u))).otherwise(u)
+    return F.regexp_replace(bare, r"\.[^.]{0,4}\z", "")
 
 
 def url_tokens_a(u: Column) -> Column:
-    """Decoded, without scheme and short extension, cut at slash, dot, dash and space."""
-    return F.filter(F.split(_plain_url(decoded(u)), r"[/ .-]"), lambda x: x != "")
+    """Decoded, without scheme and short extension, cut at slash, dot and dash; spaces stay in their tokens."""
+    return F.filter(F.split(_plain_url(decoded(u)), r"[/.-]"), lambda x: x != "")
 
 
 def url_tokens_b(u: Column) -> Column:
@@ -62,10 +65,25 @@ def url_tokens_b(u: Column) -> Column:
 
 def url_tokens_c(u: Column, lower: bool = True) -> Column:
     """As a, without decoding."""
-    t = F.filter(F.split(_plain_url(u), r"[/ .-]"), lambda x: x != "")
+    t = F.filter(F.split(_plain_url(u), r"[/.-]"), lambda x: x != "")
     return F.transform(t, F.lower) if lower else t
 
 
+def gram_set(tokens: Column, least: int = 2, most: int = 15) -> Column:
+    """The distinct n-grams of all tokens."""
+    return F.array_distinct(F.flatten(F.transform(tokens, lambda t: ngrams(t, least, most))))
+
+
+def alt_grams(alt: Column, least: int = 2, most: int = 15) -> Column:
+    """The distinct n-grams of a whole alternative text; null where that is null or empty."""
+    return F.when(F.length(alt) > 0, F.array_distinct(ngrams(alt, least, most)))
+
+
+def modified_date(millis: Column) -> Column:
+    """The time that many milliseconds after the beginning of 1970."""
+    return F.timestamp_millis(millis.cast("bigint"))
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed patterns of media URLs; a dot is any character and the suffix ends the URL.
-MEDIA_SUFFIX = r"(?i).+\.(jpg|jpeg|gif|png|bmp|tiff|mov|mp4|avi|wmv|flv|swf|mpg|mpeg|m4v|3gp|ogv)"
-VIDEO_SUFFIX = r"(?i).+\.(mov|mp4|avi|wmv|flv|swf|mpg|mpeg|m4v|3gp|ogv|webm)"
-INSTAGRAM = r"https*://instagram.com/p/[A-Za-z0-9_-]+/"
-YOUTUBE = r"https*://www.youtube.com/watch?\?v=[A-Za-z0-9_-]+"
-VIMEO = r"https*://vimeo.com/[0-9]+"
-DAILYMOTION = r"https*://www.dailymotion.com/video/[A-Za-z0-9_-]+"
-FLICKR = r"https*://flickr.com/photos/[A-Za-z0-9_@-]+/[0-9]+/"
-TWITPIC = r"https*://twitpic.com/[A-Za-z0-9]+"
+#: Patterns of media and video URLs, each for the whole URL. An unescaped dot is any character but a line end,
+#: `https*` takes any number of s, and `watch?` makes the h optional.
+MEDIA_SUFFIX = r"(?i).*\.(jpg|jpeg|png|gif|bmp|3gp|avi|flv|m4v|mov|mpg|mp4|mpeg|swf|wmv)$"
+INSTAGRAM = r"https*://instagram.com/p/([\w\-]+)/"
+YOUTUBE = r"https*://www.youtube.com/watch?.*v=([a-zA-Z0-9_\-]+)(&.+=.+)*"
+VIMEO = r"https*://vimeo.com/([0-9]+)/*$"
+TWITPIC = r"https*://twitpic.com/([A-Za-z0-9]+)/*.*$"
+DAILYMOTION = r"https*://www.dailymotion.com/video/([A-Za-z0-9]+)_.*$"
+FLICKR = r"https*://flickr.com/photos/([A-Za-z0-9@]+)/([A-Za-z0-9@]+)/*.*$"
+VIDEO_SUFFIX = r"([^\s]+(\.(?i)(webm|mkv|flv|ogg|ogv|avi|mov|wmv|rm|mp4|m4v|mpg|mpeg|mp2|m2v|3gp|3g2|mxf))$)"
 ABSOLUTE = r"^(?i)(https?|ftp|file|jar|mailto):"
 HOST = r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/:?#]*)"
 _PAGE = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/:?#]*)(?::[0-9]*)?([^?#]*)"
 
 
 def _any(u: Column, *patterns: str) -> Column:
-    return F.coalesce(u.rlike("^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")$"), F.lit(False))
+    return F.coalesce(u.rlike(r"\A(?:" + "|".join(f"(?:{p})" for p in patterns) + r")\z"), F.lit(False))
 
 
 def is_media_url(u: Column) -> Column:
@@ -83,9 +87,6 @@ def normalize_url(src: Column, page: Column, insert_slash: bool = True) -> Colum
 
 def resolve_url(src: Column, page: Column) -> Column:
     """RFC 3986 resolution, by an Arrow UDF; null where either is null or no URL."""
-    import pandas as pd
-    from urllib.parse import urljoin
-
     @F.pandas_udf("string")
     def joined(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):
