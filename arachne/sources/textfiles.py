@@ -5,18 +5,19 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arachne.functions.url import host, strip_www
+from arachne.operators.gates import MOST_LISTED, first_distinct
+from arachne.operators.order import numbered_as_read
 
 IMAGE = "id string, src string, normalizedSrc string, alt string, pageUrl string, parentTxt string, domElem string, domSib int, domDepth int, filename string, w string, h string, isBig boolean, isSmall boolean"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value), from 1, of one small file such as a manifest."""
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    return lines.select(F.row_number().over(Window.orderBy("_id")).alias("line"), "value")
+    """(line, value), from 1, of one file such as a manifest."""
+    return numbered_as_read(spark.read.text(path)).select("line", "value")
 
 
 def manifest_range(spark: SparkSession, path: str, start: int, end: int, prefix: str = "") -> DataFrame:
@@ -24,19 +25,34 @@ def manifest_range(spark: SparkSession, path: str, start: int, end: int, prefix:
     return numbered_lines(spark, path).filter((F.col("line") >= start) & (F.col("line") < end)).select(F.concat(F.lit(prefix), "value").alias("path"))
 
 
+def batch_ranges(start: int, end: int, step: int) -> list[tuple[int, int]]:
+    """Half-open ranges of `step` lines that cover [start, end), each line once."""
+    return [(a, min(a + step, end)) for a in range(start, end, step)]
+
+
 def read_media_json(spark: SparkSession, path: str, strict_dims: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(images, rejects) of JSON lines in all .gz files under a folder; a trailing comma is let pass.
+    """(images, rejects) of JSON lines in all .gz files under a folder; a trailing comma is let pass. Each line is in one of them.
 
-    w and h are read as text and cast: a line whose object can't be read, or one dimension of which is no number, is a
-    reject; unless strict_dims the latter is an image too, with null for it.
+    w and h are read as text and cast. A line whose object can't be read is a reject. One of whose dimensions is no number is an
+    image with null for it, or a reject if strict_dims.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").text(path).filter(F.trim("value") != "")
     lines = lines.withColumn("o", F.from_json(F.regexp_replace("value", r",\s*$", ""), IMAGE))
     images = lines.select("value", "o.*").withColumns({"w0": F.col("w"), "h0": F.col("h")}).withColumns({c: F.trim(c).try_cast("int") for c in ("w", "h")})
     broken = F.coalesce("src", "pageUrl", "alt", "parentTxt", "domElem").isNull()
     odd = (F.col("w0").isNotNull() & F.col("w").isNull()) | (F.col("h0").isNotNull() & F.col("h").isNull())
-    good = images.filter(~broken & ~odd) if strict_dims else images.filter(~broken)
-    return good.drop("value", "w0", "h0"), images.filter(broken | odd).select("value")
+    bad = broken | odd if strict_dims else broken
+    return images.filter(~bad).drop("value", "w0", "h0"), images.filter(bad).select("value")
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """(url) of a list's lines as they are, such as domains or known cases; empty lines and repeated ones go."""
+    return spark.read.text(path).select(F.col("value").alias("url")).filter("url <> ''").distinct()
+
+
+def read_image_list(spark: SparkSession, path: str, most: int = MOST_LISTED) -> DataFrame:
+    """(url): the first token of each line, distinct, `most` at most: the least ones."""
+    return first_distinct(spark.read.text(path).select(F.split(F.trim("value"), r"\s+")[0].alias("url")).filter("url <> ''"), "url", most)
 
 
 def seed_hosts(spark: SparkSession, path: str) -> DataFrame:
@@ -56,10 +72,13 @@ def read_vocabulary(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 
 def read_report_hosts(spark: SparkSession, path: str, more_than: int = 20) -> DataFrame:
-    """Sorted distinct hosts of a report: those that head a distribution, and those counted more often than that."""
+    """Sorted distinct hosts of a report: those that head a distribution, as they are, and those counted more often than that, without a
+    leading `www.`."""
     v = F.col("value")
-    heads = spark.read.text(path).select(F.when(v.startswith("Image url distribution for host: "), F.substring_index(v, ": ", -1)).when(F.regexp_extract(v, r"^(\S+) (\d+)$", 2).try_cast("bigint") > more_than, F.substring_index(v, " ", 1)).alias("host"))
-    return heads.filter("host is not null").distinct().orderBy("host")
+    head = "Image url distribution for host: "
+    counted = F.regexp_extract(v, r"^(\S+)\s+(\d+)$", 2).try_cast("bigint") > more_than
+    hosts = spark.read.text(path).select(F.when(v.startswith(head), F.substring(v, len(head) + 1, 1 << 20)).when(counted, strip_www(F.regexp_extract(v, r"^(\S+)", 1))).alias("host"))
+    return hosts.filter("host is not null").distinct().orderBy("host")
 
 
 def archive_preview(records: DataFrame, first: int = 6, order: tuple[str, ...] = ("path", "rec_no")) -> DataFrame:

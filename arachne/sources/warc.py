@@ -5,18 +5,21 @@
 
 Options: content=false leaves payloads out. Each file is one partition, as it need not be compressed by record. With
 pushdown=true, which needs spark.sql.python.filterPushdown.enabled, equality on rec_type or mimetype is tested before rows
-are made.
+are made. Paths are files, folders or patterns on local disks and on s3, gs, abfs and hdfs; `binary_records` reads any others.
 """
 
 from __future__ import annotations
 
-import glob
 import gzip
 import io
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
+from arachne.sources.files import expand, filesystem
+
 SCHEMA = "path string, rec_no int, rec_type string, url string, mimetype string, date string, length bigint, headers map<string,string>, content binary"
 
 
@@ -58,12 +61,41 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, stream.read(content_length(headers))
 
 
-def open_archive(path: str):
+def open_stream(raw):
     """A buffered stream of the uncompressed bytes; gzip, of many members too, is known by its first bytes."""
-    raw = open(path, "rb")
+    raw = io.BufferedReader(raw)
     return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
 
 
+class _Arrow(io.RawIOBase):
+    """A file of Arrow's as Python's streams want it."""
+
+    def __init__(self, handle):
+        self.handle = handle
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self.handle.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.handle.close()
+        super().close()
+
+
+def open_archive(uri: str):
+    fs, path = filesystem(uri)
+    return open_stream(_Arrow(fs.open_input_stream(path, compression=None)))
+
+
+def record_row(path: str, n: int, headers: dict[str, str], content: bytes | None) -> tuple:
+    return path, n, header(headers, "WARC-Type"), header(headers, "WARC-Target-URI"), header(headers, "Content-Type"), header(headers, "WARC-Date"), content_length(headers), headers, content
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -80,9 +112,8 @@ class _WarcReader(DataSourceReader):
         with open_archive(partition.path) as stream:
             for n, (headers, content) in enumerate(records(stream)):
                 kind, mimetype = header(headers, "WARC-Type"), header(headers, "Content-Type")
-                if self.only.get("rec_type", kind) != kind or self.only.get("mimetype", mimetype) != mimetype:
-                    continue
-                yield partition.path, n, kind, header(headers, "WARC-Target-URI"), mimetype, header(headers, "WARC-Date"), content_length(headers), headers, content if self.content else None
+                if self.only.get("rec_type", kind) == kind and self.only.get("mimetype", mimetype) == mimetype:
+                    yield record_row(partition.path, n, headers, content if self.content else None)
 
 
 class _FilteringReader(_WarcReader):
@@ -95,7 +126,7 @@ class _FilteringReader(_WarcReader):
 
 
 class WarcDataSource(DataSource):
-    """Files by comma-separated paths or patterns, in any folder that all executors see."""
+    """Files by comma-separated paths or patterns, in any store that all executors reach."""
 
     @classmethod
     def name(cls) -> str:
@@ -105,6 +136,30 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        paths = [q for p in self.options["path"].split(",") for q in sorted(glob.glob(p.strip().removeprefix("file://")))]
+        paths = [q for p in self.options["path"].split(",") for q in expand(p.strip())]
         kind = _FilteringReader if self.options.get("pushdown", "false").lower() == "true" else _WarcReader
         return kind(paths, self.options.get("content", "true").lower() != "false")
+
+
+def binary_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same rows from any store that Spark reads, by its own reader of whole files: of 2 GB each at most."""
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    names = ["path", "rec_no", "rec_type", "url", "mimetype", "date", "length", "headers", "content"]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([list(r[i].items()) for r in rows] if i == 7 else [r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    def read(batches):
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                rows, size = [], 0
+                for n, (headers, body) in enumerate(records(open_stream(io.BytesIO(memoryview(content.as_buffer()))))):
+                    rows.append(record_row(path, n, headers, body))
+                    size += len(body)
+                    if size > 4_000_000:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(rows)
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(read, SCHEMA)
