@@ -1,24 +1,5 @@
-"""The folder that driver and executors share, and cutting lineage with it."""
+"""The shared folder, lineage cuts and the size of Arrow batches, as the operators here use them."""
 
-from __future__ import annotations
+from arachne.shared import cut, shared_dir, small_batches
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="arachne-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it as a checkpoint in the shared folder, so lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "shared_dir", "small_batches"]
