@@ -19,29 +19,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arachne.llm.shared import cut
+from arachne.llm.shared import cut, small_batches
 
-#: The splitting pattern of the byte-level BPE vocabulary; a fixed value.
+#: The pattern by which a byte-level pre-tokenizer splits texts where its file asks for one; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _APART = re.compile(r" (?!\S)")
 _SPLIT = re.compile(r" (?=\S)")
 _NEWLINE = re.compile(r"(\n)(?=\S)")
 
 
-def _ranks(path: str) -> dict[bytes, int]:
-    """Byte strings and ids of a byte-level BPE vocabulary file, whose ids are in the order of its merges."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+def _spec(path: str) -> dict:
+    """A vocabulary file that splits texts by PATTERN and nothing else; others are refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or spec["model"].get("type") != "BPE":
+        raise ValueError(f"{path} is no byte-level BPE vocabulary without normaliser and added spaces")
+    return spec
+
+
+def _ranks(spec: dict) -> dict[bytes, int]:
+    """Byte strings and ids of a byte-level BPE vocabulary, whose ids are in the order of its merges."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {t["content"] for t in spec.get("added_tokens", ())}
     return {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
 
 
-def _added(path: str) -> dict[str, int]:
+def _added(spec: dict) -> dict[str, int]:
     """The file's added tokens and their ids, which the library takes out of a text before anything else."""
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f).get("added_tokens", ())
+    found = spec.get("added_tokens", ())
     odd = [t["content"] for t in found if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
     if odd:
         raise ValueError(f"added tokens that match by more than their text aren't handled: {odd}")
@@ -57,17 +64,18 @@ class Encoder(dict):
     each part's ids are kept: most parts are words that occur again.
     """
 
-    KEEP = 300_000
-    LONGEST = 64
+    KEEP = 100_000
+    LONGEST = 32
 
-    def __init__(self, path: str, encode_special_tokens: bool = True):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         import tiktoken
 
         super().__init__()
-        added = {} if encode_special_tokens else _added(path)
+        spec = _spec(path)
+        added = {} if encode_special_tokens else _added(spec)
         self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.raw = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={}).encode_ordinary
+        self.raw = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=_ranks(spec), special_tokens={}).encode_ordinary
 
     def ids(self, part: str) -> bytes:
         return np.array(self.raw(part), dtype="<u4").tobytes()
@@ -89,6 +97,8 @@ class Encoder(dict):
             return self[key]
         found = self.ids(part)
         if len(part) <= self.LONGEST:
+            if len(self) >= self.KEEP:
+                self.clear()
             self[key] = found
         return found
 
@@ -105,20 +115,32 @@ class Encoder(dict):
         return head + b"".join(map(self.__getitem__, parts[1:]))
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True) -> DataFrame:
+_kept: dict = {}
+
+
+def encoder(path: str, encode_special_tokens: bool = False) -> Encoder:
+    """The one encoder of this process, which tasks that run in it one after another share."""
+    if (path, encode_special_tokens) not in _kept:
+        _kept.clear()
+        _kept[path, encode_special_tokens] = Encoder(path, encode_special_tokens)
+    return _kept[path, encode_special_tokens]
+
+
+def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = False) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32, and the task that made it with its rank there by length.
 
     A text longer than the capacity is cut so that its first piece may be shorter and all others are full.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def pieces(batches):
-        encoder, task, ranks = Encoder(path, encode_special_tokens), TaskContext.get().partitionId(), Counter()
+        known, task, ranks = encoder(path, encode_special_tokens), TaskContext.get().partitionId(), Counter()
         tail = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows, out = [], ([], [], [], [], [])
-            for i, text in enumerate(b.column("text").to_pylist()):
-                ids = encoder.encode(text or "") + tail
+            for i, text in enumerate(b.column("text")):
+                ids = known.encode(text.as_py() or "") + tail
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:
@@ -207,12 +229,12 @@ def _places(bins: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return {k: np.array([r[i] for r in rows], dtype=np.int64) for i, k in enumerate(("length", "first", "sequence", "offset"))}
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of docs.
 
     Null and empty texts have the end id alone. Repeated rows and ids are packed once each. A null id stays null. Other
     columns are ignored. No rows: no sequences. `encode_special_tokens` is the tokenizers library's: true spells added
-    tokens in texts out, false (the library's default) gives them their ids.
+    tokens in texts out, false (the library's default) gives them their ids. A text of any length is one row in memory.
     """
     pieces = cut(token_pieces(docs, path, capacity, end_id, id_col, text_col, encode_special_tokens))
     tasks = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
