@@ -11,12 +11,13 @@ DIMS = r"(\d+x\d+)+|(w|h|s)_?\d+|\d+px|(width|height|w|h)=\d+|_\d+\."
 
 
 def tags(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(TAG), 1), F.lower)
+    """Lower-cased names of tags. The text is lower-cased as a whole, as a lambda over the names would leave generated code."""
+    return F.regexp_extract_all(F.lower(html), F.lit(TAG), 1)
 
 
 def words(text: Column) -> Column:
     """Split at space, tab, line feed, carriage return and form feed."""
-    return F.filter(F.split(text, "[ \\t\\n\\r\\f]+"), lambda x: x != "")
+    return F.array_remove(F.split(text, "[ \\t\\n\\r\\f]+"), "")
 
 
 def http_parts(payload: Column) -> Column:
@@ -55,18 +56,17 @@ def _plain_url(u: Column) -> Column:
 
 def url_tokens_a(u: Column) -> Column:
     """Decoded, without scheme and short extension, cut at slash, dot and dash; spaces stay in their tokens."""
-    return F.filter(F.split(_plain_url(decoded(u)), r"[/.-]"), lambda x: x != "")
+    return F.array_remove(F.split(_plain_url(decoded(u)), r"[/.-]"), "")
 
 
 def url_tokens_b(u: Column) -> Column:
     """Decoded and cut at all but letters, digits and underscores; the scheme stays."""
-    return F.filter(F.split(decoded(u), r"\W+"), lambda x: x != "")
+    return F.array_remove(F.split(decoded(u), r"\W+"), "")
 
 
 def url_tokens_c(u: Column, lower: bool = True) -> Column:
     """As a, without decoding."""
-    t = F.filter(F.split(_plain_url(u), r"[/.-]"), lambda x: x != "")
-    return F.transform(t, F.lower) if lower else t
+    return F.array_remove(F.split(F.lower(_plain_url(u)) if lower else _plain_url(u), r"[/.-]"), "")
 
 
 def gram_set(tokens: Column, least: int = 2, most: int = 15) -> Column:
