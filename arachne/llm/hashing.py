@@ -2,6 +2,9 @@
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D. Every hash of a word is a polynomial over random
 values of its bytes, read from one prefix sum and then mixed; a shingle's hash is a polynomial over word hashes.
+
+Texts are taken in pieces of PIECE bytes or so. A text of any length needs 24 bytes for each of its words besides its own bytes, and what a
+piece needs.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = U(0xD6E8FEB86659FD93)
+PIECE = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -48,7 +52,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def text_chunks(column: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, budget: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about `budget` bytes: (first row, offsets from 0, bytes). Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -67,31 +71,84 @@ def text_chunks(column: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int,
         first = last
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and for each text the index of its first word (one more at the end)."""
+def _break(data: np.ndarray, start: int) -> int:
+    """Where a piece that begins at `start` ends: after a space, at PIECE bytes or before, unless there is none."""
+    end = start + PIECE
+    if end >= len(data):
+        return len(data)
+    at = np.flatnonzero(SPACE[data[start:end]])
+    if len(at):
+        return start + int(at[-1]) + 1
+    for a in range(end, len(data), PIECE):
+        at = np.flatnonzero(SPACE[data[a : a + PIECE]])
+        if len(at):
+            return a + int(at[0]) + 1
+    return len(data)
+
+
+def _spans(edges: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(len(offsets), np.int64)
     space = SPACE[data]
     edge = np.zeros(n + 1, dtype=bool)
-    edge[offsets] = True
+    edge[edges] = True
     begins, ends = edge[:n].copy(), edge[1:].copy()
     begins[1:] |= space[:-1]
     ends[:-1] |= space[1:]
     begins &= ~space
     ends &= ~space
-    starts = np.flatnonzero(begins)
-    return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and for each text the index of its first word (one more at the end)."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
+    if n <= 2 * PIECE:
+        starts, ends = _spans(offsets, data)
+    else:
+        found, a = [], 0
+        while a < n:
+            b = _break(data, a)
+            inner = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a
+            found.append([x + a for x in _spans(np.append(inner, [0, b - a]), data[a:b])])
+            a = b
+        starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTES)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """Hashes of spans in order, of which none overlap: words, or lines."""
+    table = _LOWER if lower else _BYTES
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = int(np.searchsorted(ends, first + 2 * PIECE, side="right"))
+        if j > i:
+            part = data[first : ends[j - 1]]
+            up, down = powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(table[part] * up[: len(part)], out=sums[1:])
+            a, b = starts[i:j] - first, ends[i:j] - first
+            out[i:j] = mix((sums[b] - sums[a]) * down[a])
+            i = j
+        else:
+            out[i] = mix(_long(table, data[first : ends[i]]))[0]
+            i += 1
+    return out
+
+
+def _long(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The polynomial of a span of more than a piece, in an array of one."""
+    total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for a in range(0, len(data), PIECE):
+        part = data[a : a + PIECE]
+        up, _ = powers(len(part) + 1)
+        total += (table[part] * up[: len(part)]).sum(dtype=np.uint64) * scale
+        scale = scale * up[len(part)]
+    return total
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
