@@ -30,13 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arachne.llm.hashing import U, mix, runs, set_key, shingle_sets
-from arachne.llm.shared import cut
+from arachne.llm.shared import cut, small_batches
 
 BITS = 26
 #: Marks in a bitmap at most, so that few are false.
 MARKS = 1 << 21
-#: Shingles a block of a group holds, about.
+#: Shingles a block of a group holds, about, and sets.
 BLOCK = 1 << 19
+SETS = 128
+#: A key of more than one row in so many is joined by broadcast: so many keys at most.
+HOT = 2000
+#: Edges that one task labels.
+FEW = 1 << 19
 #: So many postings of a shingle and of sizes that can link, in one batch, are posted as one.
 LOCAL = 16
 _SEGMENT = 1 << 16
@@ -50,10 +55,14 @@ def bitmap(hashes: DataFrame, name: str) -> np.ndarray:
     """A bitmap of 2^BITS bits (8 MB at any input size) with a bit for each 64-bit hash in the column `name`."""
 
     def local(batches):
-        bits = np.zeros(1 << BITS, dtype=bool)
+        packed = np.zeros((1 << BITS) // 8, np.uint8)
         for b in batches:
-            bits[b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> U(64 - BITS)] = True
-        packed = np.packbits(bits).reshape(-1, _SEGMENT // 8)
+            at = np.unique(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> U(64 - BITS))
+            place = (at >> U(3)).astype(np.int64)
+            firsts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(at) else np.zeros(0, np.int64)
+            if len(at):
+                packed[place[firsts]] |= np.bitwise_or.reduceat(np.uint8(128) >> (at & U(7)).astype(np.uint8), firsts)
+        packed = packed.reshape(-1, _SEGMENT // 8)
         used = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["segment", "bits"])
 
@@ -200,11 +209,41 @@ def cross_links(probes: list[np.ndarray], probe_labels: list, sets: list[np.ndar
     return links
 
 
+def _least_reached(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Nodes of an edge list, and the least node that each reaches."""
+    nodes = pa.concat_arrays([u, v]).unique()
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    a, b = (pc.index_in(x, nodes).to_numpy() for x in (u, v))
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return nodes, nodes.take(pa.array(label))
+        label = low
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the least node that edges reach from each node that has an edge. Least labels with shortcuts; each
-    round is a checkpoint."""
+    """(node, label): the least node that edges reach from each node that has an edge.
+
+    Up to FEW edges, some 16 MB, are one task's; more are labelled over all tasks by least labels with shortcuts, of which each round is a
+    checkpoint. Both give the same.
+    """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    pairs = cut(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if pairs.count() <= FEW:
+        kind = edges.schema[a].dataType.simpleString()
+
+        def labelled(batches):
+            found = [(x.column("u"), x.column("v")) for x in batches if x.num_rows]
+            if found:
+                nodes, labels = _least_reached(*(pa.concat_arrays(x) for x in zip(*found, strict=True)))
+                yield pa.RecordBatch.from_arrays([nodes, labels], ["node", "label"])
+
+        return cut(pairs.coalesce(1).mapInArrow(labelled, f"node {kind}, label {kind}"))
+    pairs = cut(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = cut(pairs.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")))
     while True:
         near = pairs.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("low"))
@@ -216,6 +255,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined to a table of one row a key. Rows of hot keys, which may be most of all, stay where they are: their rows of the table are
+    broadcast. The others meet by a shuffle in which no key is large."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_c"))
+    total = rows.count()
+    hot = [r[0] for r in counts.filter(F.col("_c") > max(1000, total // HOT)).select(key).collect()]  # HOT keys at most
+    if not hot:
+        return rows.join(table, key)
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], f"{key} {rows.schema[key].dataType.simpleString()}"))
+    few = rows.join(keys, key, "left_anti").join(table, key)
+    return few.unionByName(rows.join(F.broadcast(table.join(keys, key, "left_semi")), key))
+
+
 def _size_runs(tokens: np.ndarray, least: np.ndarray, most: np.ndarray, num: int, den: int) -> np.ndarray:
     """Where runs start: of one token, sizes from `least` to `most` (sorted by token and least) of which each can link with
     one before it. What stands for many sizes of one run starts and ends runs as they would."""
@@ -263,6 +315,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     `common`: a shingle of so many sets counts as frequent; the bound rises while the marks don't fit the bitmap.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = docs.filter("id is not null").select("text")
     kind = docs.schema["id"].dataType.simpleString()
@@ -392,7 +445,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     near = cut(posted.filter("kind = 0").select(F.col("a").alias("centre"), F.col("b").alias("h1")).union(by_run).distinct())
     everyone = near.union(near.select("centre", F.col("centre").alias("h1")).distinct())
     members = cut(everyone.join(sizes, "h1").select("centre", "key", "h1", "n"))
-    groups = members.groupBy("centre").agg((F.floor(F.sum("n") / F.lit(BLOCK)) + 1).cast("int").alias("blocks"))
+    groups = members.groupBy("centre").agg((F.greatest(F.floor(F.sum("n") / F.lit(BLOCK)), F.floor(F.count("*") / F.lit(SETS))) + 1).cast("int").alias("blocks"))
     salt = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # a centre stands in every block of its group
     plan = members.join(groups, "centre").select("centre", "key", "blocks", F.explode(F.when(F.col("h1") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(salt))).alias("block"))
@@ -429,7 +482,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     large = cut(large.join(first, "centre"))
     outside = large.filter("label <> top")
     if outside.head(1):
-        chunks = outside.join(sizes.select("key", "n"), "key").groupBy("centre").agg((F.floor(F.sum("n") / F.lit(BLOCK)) + 1).cast("int").alias("chunks"))
+        chunks = outside.join(sizes.select("key", "n"), "key").groupBy("centre").agg((F.greatest(F.floor(F.sum("n") / F.lit(BLOCK)), F.floor(F.count("*") / F.lit(SETS))) + 1).cast("int").alias("chunks"))
         dealt = large.join(chunks, "centre").withColumn("own", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
         probes = dealt.filter("label <> top").select("centre", F.col("own").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "label", F.lit(True).alias("probe"))
         bases = dealt.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), salt.alias("block"), "key", "label", F.lit(False).alias("probe"))
