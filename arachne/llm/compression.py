@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arachne.llm.labelled import labelled_sample
+from arachne.llm.shared import small_batches
 
 
 #: Bytes that are compressed at once: what follows more text than that is matched against the text, not the dictionary.
@@ -73,6 +74,7 @@ def fit_compression(docs: DataFrame, labels: DataFrame, where: Column | None = N
     A half of them, chosen by hash, trains the dictionaries, the others fit the curve. Texts are cut into blocks to train
     on; of a class's blocks, wherever they stand in their texts, `sample_rows` at most are taken by hash. Where a class has no rows in either half every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     none = {"dictionaries": (b"", b""), "weights": np.zeros(2)}
     sample = labelled_sample(docs, labels, "quality", sample_rows, where, id_col, text_col)
     even = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)) == 0
@@ -105,11 +107,13 @@ def fit_compression(docs: DataFrame, labels: DataFrame, where: Column | None = N
     return {"dictionaries": dictionaries, "weights": weights}
 
 
-def score_compression(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with a column `score` in 0 to 1, higher where label 1 is likelier; one of that name is replaced.
+def score_compression(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a column `score_col` in 0 to 1, higher where label 1 is likelier; one of that name is replaced.
 
-    Null and empty texts get the score of a text that neither dictionary favours. All rows stay, repeated ones too.
+    Null and empty texts get the score of a text that neither dictionary favours. All rows stay, repeated ones too. No rows: none.
+    A text is compressed block by block, so a long one takes no more memory than itself.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -121,5 +125,5 @@ def score_compression(docs: DataFrame, model: dict, text_col: str = "text") -> D
             yield pa.array(1 / (1 + np.exp(-np.clip(w[0] + d * w[1], -30, 30))))
 
     # the texts alone go to Python, once, and only scores come back
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
-    return docs.select(*others, F.arrow_udf(scored, "double")(F.col(text_col).cast("string")).alias("score"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != score_col]
+    return docs.select(*others, F.arrow_udf(scored, "double")(F.col(text_col).cast("string")).alias(score_col))

@@ -15,6 +15,8 @@ from arachne.llm.shared import cut
 #: Bits of the hash in all, and by level.
 HASH_BITS, LEVEL_BITS = 60, 10
 WEIGHTS = (3, 1, 2)
+#: A source with more than one row in so many is sent to all tasks.
+HOT = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -31,7 +33,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Sources by code point, null last, weigh `weights` in turn and divide `share` of all sizes. A target stops at `most` times
     its source's size and the excess goes to the others by weight. Sorted by that bound over the weight, the sources that
-    stop are the first ones, so running sums give the level of the others.
+    stop are the first ones, so running sums give the level of the others. One task sees a row for each source.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     numbered = by_source.withColumn("i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -84,18 +86,25 @@ def _thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("s", "below")
 
 
-def _by_source(rows: DataFrame, plan: DataFrame, column: str, most: int = 100_000) -> DataFrame:
-    """rows joined to the row of their source. A plan of so many sources at most is broadcast, so rows stay where they
-    are and a source with most of them is no matter; a longer one, whose sources are then small, is joined by shuffle."""
-    joined = _same(column, "t")
-    return rows.join(F.broadcast(plan) if plan.limit(most + 1).count() <= most else plan, joined)
+def _by_source(rows: DataFrame, plan: DataFrame, column: str) -> DataFrame:
+    """rows joined to the row of their source. Sources with at least one row in HOT, HOT sources at most, are broadcast, so their rows stay
+    where they are; the others' rows, if there are any, meet their sources by a shuffle in which no source is large."""
+    hot, cold = plan.filter("hot").drop("hot"), plan.filter("not hot").drop("hot")
+    out = rows.join(F.broadcast(hot), _same(column, "t"))
+    if not cold.head(1):
+        return out
+    others = rows.join(F.broadcast(hot.select("t")), _same(column, "t"), "left_anti")
+    return out.unionByName(others.join(cold, _same(column, "t")))
 
 
 def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(t, source_size, target, whole, below) of each source t, from (s, size, h) rows that are read several times."""
+    """(t, source_size, target, whole, below, hot) of each source t, from (s, size, h) rows that are read several times."""
     targets = cut(source_targets(rows.select(F.col("s").alias("source"), "size"), weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")))
     budgets = targets.select(F.col("source").alias("s"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    return cut(targets.join(_thresholds(rows, budgets), _same("source", "s")).select(F.col("source").alias("t"), "source_size", "target", "whole", "below"))
+    many = rows.groupBy("s").agg(F.count("*").alias("n"))
+    least = (many.agg(F.sum("n")).first()[0] or 0) / HOT
+    plan = targets.join(_thresholds(rows, budgets), _same("source", "s")).drop("s").join(many, _same("source", "s"))
+    return cut(plan.select(F.col("source").alias("t"), "source_size", "target", "whole", "below", (F.col("n") >= least).alias("hot")))
 
 
 def _copies() -> Column:
