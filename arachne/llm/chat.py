@@ -12,11 +12,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arachne.llm.hashing import runs
+from arachne.llm.shared import small_batches
 
 BEGIN, MIDDLE, END = "### ", ": ", "</turn>\n"
 _CONTROL = re.compile(r"\\|###|</turn>|<\|")
@@ -110,37 +110,47 @@ def format_conversations(rows: DataFrame, parts_col: str | None = None, id_col:
 
     Turns go by number, ties by role and text, nulls first; repeated rows are turns of their own. A null role or text is
     empty. Rows of a null id are one conversation. A row's parts, where parts_col has any, stand for its text. Each
-    task reads its conversations in order and holds one at a time. Other columns are ignored; no rows: none.
+    task reads its conversations in order and holds one at a time. Ids are of any type that has a text form of its own. Other columns
+    are ignored; no rows: none.
     """
+    small_batches(rows.sparkSession)
     kind = rows.schema[id_col].dataType.simpleString()
     parts = F.col(parts_col) if parts_col else F.lit(None).cast(PARTS)
     turns = rows.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), parts.cast(PARTS).alias("parts"))
 
     def formatted(batches):
+        kinds = [None]
+
+        def keyed():
+            for b in batches:
+                kinds[0] = b.schema.field("id").type
+                yield b
+
         def rows_of():
-            for t in runs((b.append_column("none", pa.compute.is_null(b.column("id"))).set_column(0, "id", pa.compute.fill_null(b.column("id"), 0 if pa.types.is_integer(b.schema.field("id").type) else "")) for b in batches), ("none", "id")):
+            for t in runs(keyed(), ("none", "key")):
                 said = [(r, p if p else [{"type": "text", "text": x}]) for r, x, p in zip(t.column("role").to_pylist(), t.column("text").to_pylist(), t.column("parts").to_pylist(), strict=True)]
                 text, mask, attachments = format_turns(said)
-                yield None if t.column("none")[0].as_py() else t.column("id")[0].as_py(), text, mask, attachments, len(said), sum(a["tokens"] for a in attachments)
+                yield t.column("id")[0].as_py(), text, mask, attachments, len(said), sum(a["tokens"] for a in attachments)
 
         out, size = [], 0
         for r in rows_of():
             out.append(r)
             size += len(r[1])
             if size > 4_000_000:
-                yield batch(out)
+                yield batch(out, kinds[0])
                 out, size = [], 0
         if out:
-            yield batch(out)
+            yield batch(out, kinds[0])
 
-    def batch(out):
+    def batch(out, ids):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         attached = pa.list_(pa.struct([("ordinal", pa.int64()), ("type", pa.string()), ("ref", pa.string()), ("offset", pa.int64()), ("tokens", pa.int64())]))
-        kinds = [pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.string(), span, attached, pa.int64(), pa.int64()]
+        kinds = [ids, pa.string(), span, attached, pa.int64(), pa.int64()]
         names = ["id", "formatted", "loss_mask", "attachments", "n_turns", "expanded_tokens"]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    ordered = turns.repartition("id").sortWithinPartitions("id", "turn", "role", "text")
+    turns = turns.withColumns({"none": F.col("id").isNull(), "key": F.coalesce(F.col("id").cast("string"), F.lit(""))})
+    ordered = turns.repartition("id").sortWithinPartitions("none", "key", "turn", "role", "text")
     return ordered.mapInArrow(formatted, f"id {kind}, {FORMATTED}").withColumnRenamed("id", id_col)
 
 

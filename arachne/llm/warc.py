@@ -1,8 +1,8 @@
 """WARC archives: a writer with revisit records, and a splittable reader.
 
 Every record is a gzip member of its own. A reading task scans its byte range for the gzip magic and takes a place for a
-member if its first bytes decompress to a record's version line; it owns the members that start in its range and reads on
-beyond it to finish the last. So one archive can be read by many tasks without an index.
+member if what follows decompresses to a record's version line and headers, with a type and a length; it owns the members that start in
+its range and reads on beyond it to finish the last. So one archive can be read by many tasks without an index. A task holds one record.
 """
 
 from __future__ import annotations
@@ -20,22 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arachne.llm.shared import cut, shared_dir
+from arachne.llm.shared import cut, shared_dir, small_batches
+from arachne.sources.files import filesystem
 from arachne.sources.warc import content_length, header, parse_headers, records
 
 MAGIC = b"\x1f\x8b\x08"
 _PAGE = "urn:page:"
 
 
-def _filesystem(path: str):
-    """The file system of a folder's URI by its scheme; a path without one is local."""
-    from pyarrow.fs import FileSystem
-
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    return FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
 def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
@@ -73,9 +65,10 @@ def write_archives(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:0
 
     def written(batches):
         out, sink, path = 0, None, None
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         for b in batches:
-            for r in b.to_pylist():
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
                 if sink is None:
                     fs.create_dir(root, recursive=True)
                     path = f"{root}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
@@ -97,7 +90,7 @@ class _Source:
     """Bytes of a file from a place on, read as they are needed and dropped as they are passed."""
 
     def __init__(self, handle, start: int, step: int = 1 << 18):
-        self.handle, self.base, self.data, self.step = handle, start, b"", step
+        self.handle, self.base, self.data, self.step = handle, start, bytearray(), step
         handle.seek(start)
 
     def upto(self, end: int) -> bool:
@@ -109,18 +102,45 @@ class _Source:
             self.data += more
         return True
 
+    def piece(self, place: int, most: int) -> bytes:
+        """`most` bytes at most from a place on, none at the end."""
+        self.upto(place + 1)
+        return bytes(self.data[place - self.base : place - self.base + most])
+
     def drop(self, place: int) -> None:
-        self.data = self.data[place - self.base :]
+        del self.data[: place - self.base]
         self.base = place
 
+    def back(self, place: int) -> None:
+        """Read on from a place that may have been dropped."""
+        if place >= self.base:
+            self.drop(place)
+        else:
+            self.base, self.data = place, bytearray()
+            self.handle.seek(place)
+
+
+#: Bytes of a record's headers, at most, before and after decompression.
+_HEAD = 1 << 16
+
 
-def _starts_record(source: _Source, place: int, look: int = 1 << 12) -> bool:
-    source.upto(place + look)
+def _starts_record(source: _Source, place: int) -> bool:
+    """Whether the member at a place begins with a whole header block of a record."""
+    d, head, at = zlib.decompressobj(31), b"", place
     try:
-        head = zlib.decompressobj(31).decompress(source.data[place - source.base : place - source.base + look], 64)
+        while b"\r\n\r\n" not in head and len(head) < _HEAD and at < place + _HEAD and not d.eof:
+            piece = d.unconsumed_tail or source.piece(at, 1 << 10)
+            if not piece:
+                break
+            at += 0 if d.unconsumed_tail else len(piece)
+            head += d.decompress(piece, 1 << 12)
+            if not b"WARC/".startswith(head[:5]):
+                return False
     except zlib.error:
         return False
-    return head.startswith(b"WARC/")
+    block, ended, _ = head.partition(b"\r\n\r\n")
+    version, headers = parse_headers(block)
+    return bool(ended) and version.startswith("WARC/") and header(headers, "WARC-Type") is not None and (header(headers, "Content-Length") or "").strip().isdigit()
 
 
 def _member(source: _Source, place: int) -> tuple[bytes, int] | None:
@@ -128,11 +148,12 @@ def _member(source: _Source, place: int) -> tuple[bytes, int] | None:
     d, out, at = zlib.decompressobj(31), [], place
     try:
         while not d.eof:
-            if not source.upto(at + 1):
+            piece = source.piece(at, source.step)
+            if not piece:
                 return None
-            piece = source.data[at - source.base : at - source.base + source.step]
             out.append(d.decompress(piece))
             at += len(piece)
+            source.drop(at)
         return b"".join(out), at - len(d.unused_data)
     except zlib.error:
         return None
@@ -151,38 +172,45 @@ def split_records(handle, start: int, end: int) -> Iterator[tuple[int, dict[str,
             source.drop(at)
             continue
         place = source.base + found
+        source.drop(place)
         whole = _member(source, place) if _starts_record(source, place) else None
         if whole is None:
             at = place + 1
+            source.back(at)
             continue
         for headers, content in records(io.BytesIO(whole[0])):
             yield place, headers, content
         at = whole[1]
         if at < end:
-            source.drop(at)
+            source.back(at)
 
 
-def read_archives(files: DataFrame, split: int = 4 << 20) -> DataFrame:
+def read_archives(files: DataFrame, split: int = 128 << 20, task_bytes: int = 512 << 20) -> DataFrame:
     """(path, offset, rec_type, record_id, url, date, refers_to, payload_digest, http_length, payload) of all records in
-    files of (path, size), which all executors reach. payload: the content after the HTTP headers; without these, all."""
-    ranges = files.filter("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split).cast("bigint"))).alias("start"))
+    files of (path, size), which all executors reach. payload: the content after the HTTP headers; without these, all.
 
-    # one task for each range: by their own size these rows would all go to one
-    tasks = max(1, ranges.count())
+    A range has `split` bytes. There are enough tasks to keep all cores busy, and beyond that one for each `task_bytes`.
+    """
+    spark = files.sparkSession
+    small_batches(spark)
+    ranges = files.filter("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split).cast("bigint"))).alias("start"))
+    many, volume = ranges.count(), files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, min(many, max(4 * spark.sparkContext.defaultParallelism, -(-volume // task_bytes))))
 
     def read(batches):
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
-                fs, name = _filesystem(path)
-                rows = []
+                fs, name = filesystem(path)
+                rows, held = [], 0
                 with fs.open_input_file(name) as handle:
                     for place, headers, content in split_records(handle, start, start + split):
                         head, found, body = content.partition(b"\r\n\r\n")
                         http = parse_headers(head)[1] if found and head.startswith(b"HTTP/") else None
                         rows.append((path, place, *(header(headers, n) for n in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To", "WARC-Payload-Digest")), None if http is None else content_length(http), content if http is None else body))
-                        if len(rows) >= 500:
+                        held += len(content)
+                        if held >= 4_000_000 or len(rows) >= 1000:
                             yield _batch(rows)
-                            rows = []
+                            rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 
@@ -197,8 +225,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def archived_pages(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) for each row, from archives that are written and read
-    back. A response's figures come from its payload, a revisit's from its headers."""
+    back. A response's figures come from its payload, a revisit's from its headers. Nulls are as in plan_records; other columns are ignored.
+    No rows: none."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     kind = pages.schema[id_col].dataType.simpleString()
     back = read_archives(write_archives(plan_records(pages, min_bytes, id_col, url_col, html_col), folder))
