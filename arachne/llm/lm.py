@@ -1,90 +1,168 @@
 """Language-model scoring: a log-bilinear neural model, trained by noise-contrastive estimation, over a unigram base.
 
-All tokens of the training texts are counted, by hash, over the whole corpus. The most frequent words form the neural
-model's vocabulary; any other word is one further event, `rare`, times the word's share of the rare mass, so the
-probabilities of all words add up to 1. The model predicts an event from the two before it: each context position
-has its own word vectors, their sum meets the target's vector in an inner product, and each event has a bias. Since
-the exponent splits by context position, one matrix product gives the normalisers of all contexts at once.
-
-Training runs over all training texts: in each round every task trains by minibatches from the same parameters, and the
-driver averages what they return, weighted by tokens.
+All tokens of the training texts are counted, by hash, over the whole corpus. The model's events are the most frequent words
+and classes of all other words, by how a word ends: each of the endings that have most of the other words' tokens is a class, the rest is one.
+There are EVENTS * tokens^(1/8) events, so what the model holds grows with the corpus: some 650 at 400,000 tokens, 1,300 at 140 million,
+5,700 at 100 TB. A word of a class has its add-half share of the class's tokens, counted over the whole corpus, so the
+probabilities of all words, seen or not, add up to 1. The model predicts an event from the two before it: each context
+position has its own vectors, their sum meets the target's vector in an inner product, and each event has a bias. As the
+exponent splits by context position, one matrix product gives the normalisers of all pairs of contexts at once.
+
+Training runs over all training texts: every task trains by minibatches from the same parameters, and the driver averages what they
+return, weighted by tokens. A round on a sixteenth of the texts, chosen by hash, comes before the one on all, so that tasks agree on
+what directions mean.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arachne.llm.hashing import U, mix, runs, text_chunks, word_hashes, word_spans
 from arachne.llm.ngram_join import _dealt, _joined, _signed
-from arachne.llm.shared import cut
+from arachne.llm.shared import cut, small_batches
 
 #: The hash that stands for a text's end.
 END = U(0x0123456789ABCDEF)
+EVENTS = 128
+#: Endings are told apart by so many values of a hash of a word's last three bytes.
+ENDINGS = 1 << 12
+#: Tokens that a task counts together before it sends their counts.
+TALLY = 1 << 20
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += U(32)
 
 
-def token_runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, row borders, token hashes) of runs of texts; each text's tokens end with END."""
+class Tokens(NamedTuple):
+    """Of a run of texts: the first one's row, where each text's tokens begin (and the last one's end), hashes and endings."""
+
+    first: int
+    borders: np.ndarray
+    hashes: np.ndarray
+    endings: np.ndarray
+
+
+def token_runs(column: pa.Array) -> Iterator[Tokens]:
+    """Tokens of runs of texts; each text's tokens end with END, whose ending is 0."""
     for first, offsets, data in text_chunks(column):
         starts, ends, at = word_spans(offsets, data)
         words = word_hashes(data, starts, ends)
+        last = np.zeros(len(words), np.uint64)
+        for k in range(3):
+            inside = ends - 1 - k >= starts
+            last[inside] |= _LOWER[data[ends[inside] - 1 - k]] << U(8 * k)
         n = len(offsets) - 1
-        tokens = np.full(len(words) + n, END, np.uint64)
+        tokens, endings = np.full(len(words) + n, END, np.uint64), np.zeros(len(words) + n, np.uint16)
         keep = np.ones(len(tokens), dtype=bool)
         borders = at + np.arange(n + 1)
         keep[borders[1:] - 1] = False
         tokens[keep] = words
-        yield first, borders, tokens
+        endings[keep] = (mix(last) >> U(52)).astype(np.uint16)
+        yield Tokens(first, borders, tokens, endings)
+
+
+def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """into[rows] += values, where rows may repeat."""
+    order = np.argsort(rows.astype(np.uint16) if len(into) <= 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    firsts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    into[rows[firsts]] += np.add.reduceat(values[order], firsts, axis=0)
 
 
 class LogBilinear:
-    """Vectors of two context positions and of targets, and biases; event 0 is `rare`, the last context row a text's beginning."""
+    """Vectors of two context positions and of targets, and biases; the last context row is a text's beginning."""
 
-    def __init__(self, unigram: np.ndarray, dim: int = 24, seed: int = 1):
+    def __init__(self, unigram: np.ndarray, dim: int = 16, seed: int = 1):
         rng = np.random.default_rng(seed)
         m = len(unigram)
         self.one, self.two = (rng.normal(0, 0.1, (m + 1, dim)).astype(np.float32) for _ in range(2))
         self.target = rng.normal(0, 0.1, (m, dim)).astype(np.float32)
         self.bias = np.log(unigram).astype(np.float32)
         self.noise = (unigram / unigram.sum()).astype(np.float64)
+        self.upto = np.cumsum(self.noise)
 
     def parameters(self) -> list[np.ndarray]:
         return [self.one, self.two, self.target, self.bias]
 
-    def train(self, events: np.ndarray, before1: np.ndarray, before2: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray], samples: int = 4, rate: float = 0.3) -> None:
-        """One step on a minibatch: data against `samples` noise events each, by logistic loss on the difference of log
-        scores; Adagrad. Gradients gather in tables by (context, target) that matrix products take back to vectors."""
-        m, n = len(self.bias), len(events)
-        log_noise = np.log(self.noise * samples).astype(np.float32)
-        t1, t2 = self.one @ self.target.T, self.two @ self.target.T
-        g1, g2 = np.zeros((m + 1) * m, np.float32), np.zeros((m + 1) * m, np.float32)
-        drawn = np.searchsorted(np.cumsum(self.noise), rng.random(samples * n)).clip(0, m - 1)
-        for e, a, b, true in ((events, before1, before2, True), (drawn, np.tile(before1, samples), np.tile(before2, samples), False)):
-            s = t1[a, e] + t2[b, e] + self.bias[e] - log_noise[e]
-            p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            g = ((1 - p) if true else -p) / n
-            g1 += np.bincount(a * m + e, weights=g, minlength=(m + 1) * m).astype(np.float32)
-            g2 += np.bincount(b * m + e, weights=g, minlength=(m + 1) * m).astype(np.float32)
-        g1, g2 = g1.reshape(m + 1, m), g2.reshape(m + 1, m)
-        steps = [g1 @ self.target, g2 @ self.target, g1.T @ self.one + g2.T @ self.two, g1.sum(axis=0)]
-        for x, g, q in zip(self.parameters(), steps, squares, strict=True):
-            q += g * g
-            x += rate * g / (np.sqrt(q) + 1e-7)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log score tables by (context, event), the bias within the first, and the log normaliser of each pair of
-        contexts, by one matrix product."""
-        t1 = (self.one @ self.target.T + self.bias).astype(np.float64)
-        t2 = (self.two @ self.target.T).astype(np.float64)
+    def train(self, events: np.ndarray, before1: np.ndarray, before2: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray], samples: int = 32, rate: float = 0.2, group: int = 64) -> None:
+        """One step on a minibatch: each event against `samples` noise events, which a group of neighbours shares, by logistic loss on
+        the difference of log scores, as matrix products; Adagrad."""
+        n, m = len(events), len(self.bias)
+        pad = -n % group
+        weight = np.ones(n + pad, np.float32) / n
+        weight[n:] = 0
+        events, before1, before2 = (np.append(x, np.zeros(pad, np.int64)) for x in (events, before1, before2))
+        drawn = np.searchsorted(self.upto, rng.random((len(events) // group, samples)) * self.upto[-1]).clip(0, m - 1)
+        level = (self.bias - np.log(self.noise * samples)).astype(np.float32)
+        h = self.one[before1] + self.two[before2]
+        t, against = self.target[events], self.target[drawn]
+        g = weight / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, t) + level[events], -30, 30)))
+        grouped = h.reshape(len(drawn), group, -1)
+        q = -weight.reshape(-1, group, 1) / (1 + np.exp(-np.clip(grouped @ against.transpose(0, 2, 1) + level[drawn][:, None], -30, 30)))
+        toward = g[:, None] * t + (q @ against).reshape(len(events), -1)
+        steps = [np.zeros_like(p) for p in self.parameters()]
+        _scatter(steps[0], before1, toward)
+        _scatter(steps[1], before2, toward)
+        _scatter(steps[2], events, g[:, None] * h)
+        _scatter(steps[2], drawn.ravel(), (q.transpose(0, 2, 1) @ grouped).reshape(drawn.size, -1))
+        steps[3] += np.bincount(events, weights=g, minlength=m).astype(np.float32)
+        steps[3] += np.bincount(drawn.ravel(), weights=q.sum(axis=1).ravel(), minlength=m).astype(np.float32)
+        for x, step, square in zip(self.parameters(), steps, squares, strict=True):
+            square += step * step
+            x += rate * step / (np.sqrt(square) + 1e-7)
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log score tables by (context, event), the bias within the first."""
+        return self.one @ self.target.T + self.bias, self.two @ self.target.T
+
+    def normalisers(self) -> np.ndarray:
+        """The log normaliser of each pair of contexts, by one matrix product."""
+        t1, t2 = (t.astype(np.float64) for t in self.scores())
         high1, high2 = t1.max(axis=1, keepdims=True), t2.max(axis=1, keepdims=True)
-        z = np.log(np.exp(t1 - high1) @ np.exp(t2 - high2).T) + high1 + high2.T
-        return t1.astype(np.float32), t2.astype(np.float32), z.astype(np.float32)
+        return (np.log(np.exp(t1 - high1) @ np.exp(t2 - high2).T) + high1 + high2.T).astype(np.float32)
+
+
+class Events(NamedTuple):
+    """What maps tokens to events: the class of each ending, and the sorted hashes of the words that are events of their own, which follow the
+    classes. masses: the add-half count of each class, with half a token for words never seen."""
+
+    classes: np.ndarray
+    words: np.ndarray
+    masses: np.ndarray
+
+    def of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        at = _places(hashes, self.words)
+        return np.where(at > 0, at + len(self.masses) - 1, self.classes[endings])
+
+
+def _places(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """1 + the place among sorted known ones, 0 for others."""
+    if not len(known):
+        return np.zeros(len(tokens), np.int64)
+    at = np.searchsorted(known, tokens).clip(0, len(known) - 1)
+    return np.where(known[at] == tokens, at + 1, 0)
+
+
+def choose_events(total: int, hashes: np.ndarray, endings: np.ndarray, n: np.ndarray, ending_mass: np.ndarray) -> tuple[Events, np.ndarray]:
+    """Events for a corpus of `total` tokens, and their unigram masses. hashes, endings, n: of the most frequent tokens, sorted by hash;
+    ending_mass: add-half counts of all seen tokens by ending."""
+    size = max(8, math.ceil(EVENTS * max(1, total) ** 0.125))
+    top = np.sort(np.lexsort((hashes, -n))[: size - size // 4])
+    rest = ending_mass - np.bincount(endings[top], weights=n[top] + 0.5, minlength=ENDINGS)
+    own = np.lexsort((np.arange(ENDINGS), -rest))[: size // 4 - 1]
+    own = own[rest[own] > 0.25]
+    classes = np.zeros(ENDINGS, np.int64)
+    classes[own] = np.arange(1, len(own) + 1)
+    masses = np.bincount(classes, weights=np.maximum(rest, 0.0), minlength=len(own) + 1) + 0.5
+    return Events(classes, hashes[top], masses), np.concatenate([masses, n[top] + 0.5])
 
 
 def _contexts(events: np.ndarray, borders: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,46 +177,70 @@ def _contexts(events: np.ndarray, borders: np.ndarray, start: int) -> tuple[np.n
     return one, two
 
 
-def _events(tokens: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Events by a sorted vocabulary of hashes: 1 + its place, 0 for other words."""
-    at = np.searchsorted(vocabulary, tokens).clip(0, max(len(vocabulary) - 1, 0))
-    return np.where(vocabulary[at] == tokens, at + 1, 0) if len(vocabulary) else np.zeros(len(tokens), np.int64)
+class Tally:
+    """Counts of tokens over batches, sent when there are many kinds."""
+
+    def __init__(self, shift: np.uint64):
+        self.shift, self.held, self.kinds = shift, [], 0
+
+    def add(self, hashes: np.ndarray, endings: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((hashes, endings, np.ones(len(hashes), np.int64)))
+        self.kinds += len(hashes)
+        if self.kinds > TALLY:
+            self._merge()
+            if self.kinds > TALLY // 2:
+                yield from self.sent()
+
+    def _merge(self) -> None:
+        hashes, endings, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        hashes, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        self.held, self.kinds = [(hashes, endings[at], np.bincount(back, weights=n).astype(np.int64))], len(hashes)
 
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        self._merge()
+        ((hashes, endings, n),) = self.held
+        scattered = mix(hashes)
+        by = np.argsort(scattered)
+        yield from _dealt(scattered[by], self.shift, {"tokens": hashes[by], "endings": endings[by], "n": n[by]})
+        self.held, self.kinds = [], 0
 
-def score_texts(docs: DataFrame, train: Column, words: int = 1023, table: int = 1 << 18, rounds: int = 2, minibatch: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; held_out: `train` fails.
+
+def score_texts(docs: DataFrame, train: Column, table: int = 1 << 18, minibatch: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_base, mean_score) for each row of docs; held_out: `train` fails.
 
     Learns from rows where `train` holds (null counts as not). Tokens are words lower-cased (A-Z) and one end per text, which
     null and empty texts have alone. base_score: log10 of add-half unigram probabilities with one place for unseen words.
-    score: log10 of the log-bilinear model's. Repeated rows keep a row each. Without training rows all tokens are unseen.
-    Other columns are ignored.
+    score: log10 of the log-bilinear model's. mean_: a token's share of either. Repeated rows keep a row each. Without training rows all tokens are
+    unseen. Other columns are ignored. No rows: none.
 
     Counts of the most frequent tokens, `table` at most, are broadcast; each text asks for those of its other tokens in
     packed rows, dealt by token, and the sums come back dealt by text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     learn = rows.filter("train").select("text")
-    volume = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = 1 << max(4, math.ceil(math.log2(max(1, volume / 8_000_000))))
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 << max(4, math.ceil(math.log2(max(1, volume / 16_000_000))))
     shift = U(64 - int(math.log2(parts)))
+    ids = _arrow_type(docs, id_col)
 
     def counted(batches):
+        tally = Tally(shift)
         for b in batches:
-            found = [np.unique(t, return_counts=True) for _, _, t in token_runs(b.column("text"))]
-            if found:
-                tokens, back = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-                n = np.bincount(back, weights=np.concatenate([c for _, c in found]))
-                scattered = mix(tokens)
-                by = np.argsort(scattered)
-                yield from _dealt(scattered[by], shift, {"tokens": tokens[by], "n": n[by].astype(np.uint32)})
+            for t in token_runs(b.column("text")):
+                yield from tally.add(t.hashes, t.endings)
+        yield from tally.sent()
 
     def merged(batches):
         for t in runs(batches, ("part",)):
-            tokens, back = np.unique(_joined(t, "tokens", np.uint64), return_inverse=True)
-            n = np.bincount(back, weights=_joined(t, "n", np.uint32)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([t.column("part").combine_chunks()[:1], pa.array([tokens.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "tokens", "n", "kinds", "total"])
+            tokens, at, back = np.unique(_joined(t, "tokens", np.uint64), return_index=True, return_inverse=True)
+            n = np.bincount(back, weights=_joined(t, "n", np.int64)).astype(np.int64)
+            endings = _joined(t, "endings", np.uint16)[at]
+            yield pa.RecordBatch.from_arrays([t.column("part").combine_chunks()[:1], *(pa.array([x.tobytes()], pa.binary()) for x in (tokens, endings, n)), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "tokens", "endings", "n", "kinds", "total"])
 
     def steps(batches):
         for b in batches:
@@ -147,8 +249,19 @@ def score_texts(docs: DataFrame, train: Column, words: int = 1023, table: int =
                 least, times = np.unique(np.where(n < 1024, n, 1 << np.log2(n).astype(np.int64)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(times)], ["least", "times"])
 
-    counts = cut(learn.mapInArrow(counted, "part int, tokens binary, n binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merged, "part int, tokens binary, n binary, kinds bigint, total bigint"))
+    def by_ending(batches):
+        mass = np.zeros(ENDINGS)
+        for b in batches:
+            for endings, n in zip(b.column("endings").to_pylist(), b.column("n").to_pylist(), strict=True):
+                mass += np.bincount(np.frombuffer(endings, np.uint16), weights=np.frombuffer(n, np.int64) + 0.5, minlength=ENDINGS)
+        some = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(mass[some])], ["ending", "mass"])
+
+    counts = cut(learn.mapInArrow(counted, "part int, tokens binary, endings binary, n binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merged, "part int, tokens binary, endings binary, n binary, kinds bigint, total bigint"))
     n_kinds, n_total = (int(v or 0) for v in counts.agg(F.sum("kinds"), F.sum("total")).first())
+    ending_mass = np.zeros(ENDINGS)
+    for r in counts.select("endings", "n").mapInArrow(by_ending, "ending int, mass double").groupBy("ending").agg(F.sum("mass").alias("mass")).collect():  # ENDINGS rows at most
+        ending_mass[r["ending"]] = r["mass"]
     bound, room = 1 << 62, table
     for r in sorted(counts.select("n").mapInArrow(steps, "least bigint, times bigint").groupBy("least").agg(F.sum("times").alias("times")).collect(), reverse=True):  # some 1100 rows
         room -= r["times"]
@@ -158,98 +271,66 @@ def score_texts(docs: DataFrame, train: Column, words: int = 1023, table: int =
 
     def frequent_ones(batches):
         for b in batches:
-            for tokens, n in zip(b.column("tokens").to_pylist(), b.column("n").to_pylist(), strict=True):
-                tokens, n = np.frombuffer(tokens, np.uint64), np.frombuffer(n, np.int64)
-                yield pa.RecordBatch.from_arrays([_signed(tokens[n >= bound]), pa.array(n[n >= bound])], ["token", "n"])
+            for tokens, endings, n in zip(*(b.column(c).to_pylist() for c in ("tokens", "endings", "n")), strict=True):
+                tokens, endings, n = np.frombuffer(tokens, np.uint64), np.frombuffer(endings, np.uint16), np.frombuffer(n, np.int64)
+                keep = n >= bound
+                yield pa.RecordBatch.from_arrays([_signed(tokens[keep]), pa.array(endings[keep].astype(np.int32)), pa.array(n[keep])], ["token", "ending", "n"])
 
-    known = counts.select("tokens", "n").mapInArrow(frequent_ones, "token bigint, n bigint").toArrow()  # `table` rows at most
-    tokens, n = known.column("token").to_numpy().view(np.uint64), known.column("n").to_numpy()
+    known = counts.select("tokens", "endings", "n").mapInArrow(frequent_ones, "token bigint, ending int, n bigint").toArrow()  # `table` rows at most
+    tokens, endings, n = known.column("token").to_numpy().view(np.uint64), known.column("ending").to_numpy(), known.column("n").to_numpy()
     by = np.argsort(tokens)
     known_tokens, known_n = tokens[by], n[by]
-    top = np.sort(np.lexsort((known_tokens, -known_n))[:words])
-    vocabulary, frequent = known_tokens[top], known_n[top]
-    # an event's unigram mass: the add-half counts; `rare` has those of all other seen words and of the unseen place
-    mass = np.concatenate([[n_total - frequent.sum() + 0.5 * (n_kinds - len(frequent) + 1)], frequent + 0.5])
+    events, mass = choose_events(n_total, known_tokens, endings[by], known_n, ending_mass)
     model = LogBilinear(mass / mass.sum())
     start = len(mass)
-
-    for turn in range(rounds if n_total else 0):
-        sent = spark.sparkContext.broadcast((vocabulary, model))
-
-        def trained(batches, sent=sent, turn=turn):
-            known, m = sent.value
-            rng = np.random.default_rng(turn)
-            squares = [np.full_like(p, 1e-8) for p in m.parameters()]
-            m = _copied(m)
-            held: list = [[], [], []]
-            waiting, seen = 0, 0
-            for b in batches:
-                for _, borders, tokens in token_runs(b.column("text")):
-                    e = _events(tokens, known)
-                    for h, x in zip(held, (e, *_contexts(e, borders, len(m.bias))), strict=True):
-                        h.append(x)
-                    waiting += len(e)
-                    if waiting >= minibatch:
-                        batch = [np.concatenate(h) for h in held]
-                        for k in range(0, waiting, minibatch):
-                            m.train(*(x[k : k + minibatch] for x in batch), rng, squares)
-                        seen += waiting
-                        held, waiting = [[], [], []], 0
-            if waiting:
-                m.train(*(np.concatenate(h) for h in held), rng, squares)
-                seen += waiting
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k in range(4)], pa.int32()), pa.array([float(seen)] * 4), pa.array([(p * np.float64(seen)).ravel().tolist() for p in m.parameters()], pa.list_(pa.float64()))], ["k", "seen", "values"])
-
-        def averaged(batches):
-            sums: dict[int, list] = {}
-            for b in batches:
-                for k, seen, values in zip(b.column("k").to_pylist(), b.column("seen").to_pylist(), b.column("values"), strict=True):
-                    v = values.values.to_numpy()
-                    if k in sums:
-                        sums[k] = [sums[k][0] + seen, sums[k][1] + v]
-                    else:
-                        sums[k] = [seen, v.copy()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.float64()), pa.array([s[1].tolist() for s in sums.values()], pa.list_(pa.float64()))], ["k", "seen", "values"])
-
-        schema = "k int, seen double, values array<double>"
-        tasks = learn.mapInArrow(trained, schema)
-        width = tasks.rdd.getNumPartitions()
-        while width > 16:  # sums meet in ever fewer tasks
-            width = max(16, width // 16)
-            tasks = tasks.repartition(width).mapInArrow(averaged, schema)
-        sums: dict[int, list] = {}
-        for r in tasks.toLocalIterator():  # 64 rows of the model's size at most
-            s = sums.setdefault(r["k"], [0.0, 0.0])
-            s[0] += r["seen"]
-            s[1] = s[1] + np.array(r["values"])
-        model.one, model.two, model.target, model.bias = (np.asarray(sums[k][1] / sums[k][0], dtype=np.float32).reshape(p.shape) for k, p in enumerate(model.parameters()))
+    for turn, texts in enumerate((learn.filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0), learn) if n_total else ()):
+        _round(texts, model, events, start, minibatch, turn)
 
     denominator = math.log10(n_total + 0.5 * (n_kinds + 1))
-    rare_mass = math.log10(float(mass[0]))
-    sent = spark.sparkContext.broadcast((vocabulary, known_tokens, np.log10(known_n + 0.5), model.tables()))
-
-    def asks(batches):
-        """Packed (part, tokens, texts, times) of the tokens whose counts are not in the table."""
-        _, have, _, _ = sent.value
+    sent = spark.sparkContext.broadcast((events, known_tokens, np.log10(known_n + 0.5), model, model.normalisers()))
+
+    def own_and_asked(batches):
+        """A row for each text, of what its tokens in the table and the model give, and packed (part, tokens, m, texts) of its other tokens. A text's
+        name is its task's number and its place there."""
+        events, have, log_n, model, z = sent.value
+        log_n, log_mass = np.append([0.0], log_n), np.log10(events.masses)
+        t1, t2 = model.scores()
+        name = TaskContext.get().partitionId() << 33
+        asked: list[list] = [[], [], []]
+        waiting = 0
         for b in batches:
-            names = b.column("row").to_numpy()
-            asked: list[list] = [[], [], []]
-            for first, borders, tokens in token_runs(b.column("text")):
-                unknown = _events(tokens, have) == 0
-                text = np.repeat(np.arange(first, first + len(borders) - 1), np.diff(borders))[unknown]
-                some = tokens[unknown]
+            out = np.zeros((6, b.num_rows))
+            for first, borders, tokens, endings in token_runs(b.column("text")):
+                e, at = events.of(tokens, endings), _places(tokens, have)
+                one, two = _contexts(e, borders, start)
+                log = t1[one, e].astype(np.float64) + t2[two, e] - z[one, two]
+                rare = e < len(log_mass)
+                base = log_n[at]
+                k = borders[:-1]
+                shares = np.where(rare, base - log_mass[np.where(rare, e, 0)], 0.0)
+                out[:, first : first + len(k)] = [np.diff(borders), *(np.add.reduceat(np.asarray(x, dtype=float), k) for x in (at > 0, base, log, shares, rare))]
+                text = name + np.repeat(np.arange(first, first + len(k)), np.diff(borders))[at == 0]
+                some = tokens[at == 0]
                 by = np.lexsort((text, some))
                 some, text = some[by], text[by]
-                new = np.ones(len(some), dtype=bool)
-                new[1:] = (some[1:] != some[:-1]) | (text[1:] != text[:-1])
-                firsts = np.flatnonzero(new)
-                for a, x in zip(asked, (some[firsts], names[text[firsts]], np.diff(np.append(firsts, len(some)))), strict=True):
+                firsts = np.flatnonzero(np.append(True, (some[1:] != some[:-1]) | (text[1:] != text[:-1]))) if len(some) else np.zeros(0, np.int64)
+                for a, x in zip(asked, (some[firsts], text[firsts], np.diff(np.append(firsts, len(some)))), strict=True):
                     a.append(x)
-            if asked[0] and (tokens := np.concatenate(asked[0])).size:
-                scattered = mix(tokens)
-                by = np.argsort(scattered)
-                yield from _dealt(scattered[by], shift, {"tokens": tokens[by], "n": np.concatenate(asked[2]).astype(np.uint32)[by], "texts": np.concatenate(asked[1])[by]})
+                waiting += len(firsts)
+            yield _union(b, name + np.arange(b.num_rows), out)
+            name += b.num_rows
+            if waiting > TALLY:
+                yield from questions(asked)
+                asked, waiting = [[], [], []], 0
+        if waiting:
+            yield from questions(asked)
+
+    def questions(asked):
+        tokens, texts, times = (np.concatenate(a) for a in asked)
+        scattered = mix(tokens)
+        by = np.argsort(scattered)
+        for r in _dealt(scattered[by], shift, {"tokens": tokens[by], "n": times.astype(np.int64)[by], "texts": texts[by]}):
+            yield _union(None, None, None, r, ids)
 
     def answers(batches):
         """Sums by text of what the part's counts give, dealt by text."""
@@ -258,63 +339,119 @@ def score_texts(docs: DataFrame, train: Column, words: int = 1023, table: int =
             ask, have = t.filter(asked), t.filter(pa.compute.invert(asked))
             if not ask.num_rows:
                 continue
-            tokens, times, texts = _joined(ask, "tokens", np.uint64), _joined(ask, "n", np.uint32).astype(np.int64), _joined(ask, "texts", np.int64)
+            tokens, times, texts = _joined(ask, "tokens", np.uint64), _joined(ask, "n", np.int64), _joined(ask, "texts", np.int64)
             c = np.zeros(len(tokens))
             if have.num_rows:
                 seen, n = _joined(have, "tokens", np.uint64), _joined(have, "n", np.int64)
                 at = np.searchsorted(seen, tokens).clip(0, len(seen) - 1)
                 c = np.where(seen[at] == tokens, n[at], 0).astype(float)
             texts, back = np.unique(texts, return_inverse=True)
-            scattered = texts.view(np.uint64)
+            scattered = mix(texts.view(np.uint64))
             by = np.argsort(scattered)
-            sums = {"texts": texts[by], "times": np.bincount(back, weights=times)[by].astype(np.uint32), "known": np.bincount(back, weights=times * (c > 0))[by].astype(np.uint32), "base": np.bincount(back, weights=times * np.log10(c + 0.5))[by]}
+            sums = {"texts": texts[by], "known": np.bincount(back, weights=times * (c > 0))[by].astype(np.uint32), "base": np.bincount(back, weights=times * np.log10(c + 0.5))[by]}
             yield from _dealt(scattered[by], shift, sums)
 
     def summed(batches):
         for t in runs(batches, ("part",)):
             texts, back = np.unique(_joined(t, "texts", np.int64), return_inverse=True)
-            sums = [np.bincount(back, weights=_joined(t, c, k)) for c, k in (("times", np.uint32), ("known", np.uint32), ("base", np.float64))]
-            yield pa.RecordBatch.from_arrays([pa.array(texts), *map(pa.array, sums)], ["row", "asked", "asked_known", "asked_base"])
+            sums = [np.bincount(back, weights=_joined(t, c, k)) for c, k in (("known", np.uint32), ("base", np.float64))]
+            yield pa.RecordBatch.from_arrays([pa.array(texts), *map(pa.array, sums)], ["row", "asked_known", "asked_base"])
 
-    def own(batches):
-        """What a text's tokens in the table and in the vocabulary give."""
-        known, have, log_n, (t1, t2, z) = sent.value
-        log_n = np.append([0.0], log_n)
-        for b in batches:
-            out = np.zeros((6, b.num_rows))
-            for first, borders, tokens in token_runs(b.column("text")):
-                e, at = _events(tokens, known), _events(tokens, have)
-                one, two = _contexts(e, borders, start)
-                log = t1[one, e].astype(np.float64) + t2[two, e] - z[one, two]
-                rare = e == 0
-                base = log_n[at]
-                k = borders[:-1]
-                columns = (at > 0, base, log, rare, np.where(rare, base, 0.0))
-                out[:, first : first + len(k)] = [np.diff(borders), *(np.add.reduceat(np.asarray(x, dtype=float), k) for x in columns)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("train"), b.column("row"), *(pa.array(np.ascontiguousarray(x)) for x in out)], ["id", "train", "row", "n", "here", "base", "log", "rare", "rare_base"])
-
-    # identical rows have one name; what they ask is summed and divided again by how often they ask it
-    named = rows.withColumn("row", F.xxhash64("id", "text", F.lit(5)))
-    packed = "part int, tokens binary, n binary, texts binary"
-    asked = named.select("row", "text").mapInArrow(asks, packed).unionByName(counts.select("part", "tokens", "n"), allowMissingColumns=True)
-    back = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(answers, "part int, texts binary, times binary, known binary, base binary")
-    back = back.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(summed, "row bigint, asked double, asked_known double, asked_base double")
-    mine = named.mapInArrow(own, f"id {kind}, train boolean, row bigint, n double, here double, base double, log double, rare double, rare_base double")
+    first = cut(rows.mapInArrow(own_and_asked, f"id {kind}, train boolean, row bigint, total double, here double, base double, log double, shares double, rare double, part int, tokens binary, n binary, texts binary"))
+    asked = first.filter("part is not null").select("part", "tokens", "n", "texts").unionByName(counts.select("part", "tokens", "n"), allowMissingColumns=True)
+    back = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(answers, "part int, texts binary, known binary, base binary")
+    back = back.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(summed, "row bigint, asked_known double, asked_base double")
     zero = F.lit(0.0)
-    part = F.when(F.coalesce("asked", zero) > 0, (F.col("n") - F.col("here")) / F.col("asked")).otherwise(zero)
-    out = mine.join(back, "row", "left").withColumns({"asked_known": F.coalesce(F.col("asked_known") * part, zero), "asked_base": F.coalesce(F.col("asked_base") * part, zero)})
+    out = first.filter("part is null").join(back, "row", "left").withColumns({c: F.coalesce(c, zero) for c in ("asked_known", "asked_base")})
+    base_score = F.col("base") + F.col("asked_base") - F.col("total") * denominator
+    score = F.col("log") / math.log(10) + F.col("shares") + F.col("asked_base")
     return out.select(
         F.col("id").alias(id_col),
         (~F.col("train")).alias("held_out"),
-        F.col("n").cast("bigint").alias("n_tokens"),
+        F.col("total").cast("bigint").alias("n_tokens"),
         F.round(F.col("here") + F.col("asked_known")).cast("bigint").alias("n_known"),
         F.lit(n_total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.col("asked_base") - F.col("n") * denominator).alias("base_score"),
-        (F.col("log") / math.log(10) + F.col("rare_base") + F.col("asked_base") - F.col("rare") * rare_mass).alias("score"),
+        base_score.alias("base_score"),
+        score.alias("score"),
+        (base_score / F.col("total")).alias("mean_base"),
+        (score / F.col("total")).alias("mean_score"),
     )
 
 
+def _arrow_type(docs: DataFrame, id_col: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(docs.schema[id_col].dataType)
+
+
+def _union(batch, names, sums, packed=None, ids=None) -> pa.RecordBatch:
+    """A row for each text of a batch, or the packed rows; the others' columns are null."""
+    own = ["id", "train", "row", "total", "here", "base", "log", "shares", "rare"]
+    other = {"part": pa.int32(), "tokens": pa.binary(), "n": pa.binary(), "texts": pa.binary()}
+    if packed is None:
+        columns = [batch.column("id"), batch.column("train"), pa.array(names), *(pa.array(np.ascontiguousarray(x)) for x in sums), *(pa.nulls(batch.num_rows, t) for t in other.values())]
+    else:
+        columns = [pa.nulls(packed.num_rows, t) for t in (ids, pa.bool_(), pa.int64(), *[pa.float64()] * 6)] + [packed.column(c) for c in other]
+    return pa.RecordBatch.from_arrays(columns, [*own, *other])
+
+
+def _round(texts: DataFrame, model: LogBilinear, events: Events, start: int, minibatch: int, turn: int) -> None:
+    """One pass over the texts, after which the model has the average of all tasks' parameters, weighted by tokens."""
+    sent = texts.sparkSession.sparkContext.broadcast((events, model))
+
+    def trained(batches):
+        events, shared = sent.value
+        m = _copied(shared)
+        rng = np.random.default_rng(turn)
+        squares = [np.full_like(p, 1e-8) for p in m.parameters()]
+        held: list = [[], [], []]
+        waiting, seen = 0, 0
+        for b in batches:
+            for _, borders, tokens, endings in token_runs(b.column("text")):
+                e = events.of(tokens, endings)
+                for h, x in zip(held, (e, *_contexts(e, borders, start)), strict=True):
+                    h.append(x)
+                waiting += len(e)
+                if waiting >= minibatch:
+                    batch = [np.concatenate(h) for h in held]
+                    whole = waiting - waiting % minibatch
+                    for k in range(0, whole, minibatch):
+                        m.train(*(x[k : k + minibatch] for x in batch), rng, squares)
+                    held, waiting, seen = [[x[whole:]] for x in batch], waiting - whole, seen + whole
+        if waiting:
+            m.train(*(np.concatenate(h) for h in held), rng, squares)
+            seen += waiting
+        if seen:
+            yield sums(seen, [p * np.float64(seen) for p in m.parameters()])
+
+    def sums(seen, values):
+        return pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([np.concatenate([np.asarray(v, np.float64).ravel() for v in values]).tobytes()], pa.binary())], ["seen", "values"])
+
+    def added(batches):
+        seen, values = 0.0, None
+        for b in batches:
+            for n, v in zip(b.column("seen").to_pylist(), b.column("values").to_pylist(), strict=True):
+                v = np.frombuffer(v)
+                seen, values = seen + n, v if values is None else values + v
+        if values is not None:
+            yield sums(seen, [values])
+
+    schema = "seen double, values binary"
+    tasks = texts.mapInArrow(trained, schema)
+    width = tasks.rdd.getNumPartitions()
+    while width > 16:  # sums meet in ever fewer tasks
+        width = max(16, width // 16)
+        tasks = tasks.repartition(width).mapInArrow(added, schema)
+    seen, values = 0.0, 0.0
+    for r in tasks.toLocalIterator():  # 16 rows of the model's size at most
+        seen, values = seen + r["seen"], values + np.frombuffer(bytes(r["values"]))
+    if seen:
+        shapes = [p.shape for p in model.parameters()]
+        cuts = np.cumsum([math.prod(x) for x in shapes])[:-1]
+        model.one, model.two, model.target, model.bias = (x.reshape(p).astype(np.float32) for x, p in zip(np.split(values / seen, cuts), shapes, strict=True))
+
+
 def _copied(m: LogBilinear) -> LogBilinear:
     other = object.__new__(LogBilinear)
-    other.one, other.two, other.target, other.bias, other.noise = (x.copy() for x in (*m.parameters(), m.noise))
+    other.one, other.two, other.target, other.bias, other.noise, other.upto = (x.copy() for x in (*m.parameters(), m.noise, m.upto))
     return other
