@@ -12,7 +12,7 @@ from arachne.llm.lm import score_texts
 from arachne.llm.mixing import mix_sources
 from arachne.llm.ngram_join import link_components
 from arachne.llm.packing import pack
-from arachne.llm.pii import fit_secrets, pii_spans
+from arachne.llm.pii import fit_spans, pii_spans
 from arachne.llm.rules import apply_rules, fit_rules
 from arachne.llm.syncmers import fingerprints
 from arachne.llm.warc import archived_pages
@@ -29,7 +29,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0, encode_special_tokens=False)
+    return pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return pii_spans(docs, fit_secrets(docs))
+    return pii_spans(docs, fit_spans(docs))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,52 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_rules": op2_rules, "op3_lm_scoring": op3_lm_scoring, "op4_chat": op4_chat, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op10_compression": op10_compression, "op7_ngram_join": op7_ngram_join, "op8_fingerprints": op8_fingerprints, "op9_warc": op9_warc}
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_rules that SQL can give."""
+    return op2_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_lm_scoring that SQL can give."""
+    return op3_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_rules": op2_rules, "op3_lm_scoring": op3_lm_scoring, "op4_chat": op4_chat, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op10_compression": op10_compression, "op7_ngram_join": op7_ngram_join, "op8_fingerprints": op8_fingerprints, "op9_warc": op9_warc, "rules_base": rules_base, "lm_base": lm_base}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWERED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+#: crc32 of the id as text, bit by bit: each byte is a step, and each -1 after it a shift.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::VARCHAR, '')])), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END))"
 ORACLES: dict[str, str] = {
+    "rules_base": rf"""
+WITH d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT word) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS word FROM t WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b""",
+    "lm_base": rf"""
+WITH d AS (SELECT doc_id, {_CRC} % 5 = 1 AS held_out, list_append({_LOWERED}, ' end') AS w FROM documents),
+c AS (SELECT token, count(*) AS c FROM (SELECT unnest(w) AS token FROM d WHERE NOT held_out) GROUP BY 1),
+s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c),
+o AS (SELECT doc_id, held_out, unnest(w) AS token FROM d)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score FROM o LEFT JOIN c USING (token), s GROUP BY 1, 2""",
+    "op4_chat": r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|###|</turn>|<\|')) AS t, length(role) + len(regexp_extract_all(role, '\\|###|</turn>|<\||:')) AS o FROM r),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum(t + o + 14)::BIGINT AS formatted_chars FROM e GROUP BY 1)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op7_ngram_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWERED} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+q AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT q.doc_id, e.b FROM q JOIN e ON q.r = e.a)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id FROM q LEFT JOIN n USING (doc_id) GROUP BY 1""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least, sha1(h) AS x FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1) for i in range(32)], '') AS payload_digest,
+CASE WHEN least = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN least < page_id THEN least END AS refers_to FROM f""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),

@@ -77,6 +77,7 @@ def test_ngram_join(spark, k, num, den):
 def test_ngram_join_in_many_blocks(spark, monkeypatch):
     """A chain of drifting copies in blocks that are too small for it: links across blocks count too."""
     monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    monkeypatch.setattr(ngram_join, "SETS", 5)
     r = random.Random(5)
     text, texts = [f"w{i}" for i in range(60)], []
     for i in range(40):
@@ -87,6 +88,16 @@ def test_ngram_join_in_many_blocks(spark, monkeypatch):
     assert got == brute_components(texts, 2, 85, 100)
 
 
+@pytest.mark.parametrize("few", [1 << 19, 0])
+def test_components_of_few_and_of_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    edges = [(5, 4), (4, 3), (3, 9), (9, 9), (20, 21), (21, 20), (7, 30), (30, 31), (31, 7)]
+    df = spark.createDataFrame([(f"{a:03}".encode(), f"{b:03}".encode()) for a, b in edges], "a binary, b binary")
+    got = {int(r.node): int(r.label) for r in ngram_join.components(df).collect()}
+    assert got == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20, 7: 7, 30: 7, 31: 7}
+    assert ngram_join.components(df.limit(0)).count() == 0
+
+
 def test_ngram_join_where_many_texts_share_a_shingle(spark):
     """More near copies in a batch than are posted one by one, of drifting sizes, so links cross the runs of batches and tasks."""
     r = random.Random(8)
@@ -194,7 +205,6 @@ def test_packing(spark):
 
     texts = corpus() + ["a  b \n c\r\n\n d", " lead", "trail ", "x\n", "\n\nx y", "it's 5'll <|endoftext|> ", "\u0085 a b"]
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     ids = [np.array(e.ids + [0], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
     rows = packing.pack(frame(spark, texts), vocabulary(), 256).collect()
     pieces, bins = Counter(), {}
@@ -212,6 +222,29 @@ def test_packing(spark):
         assert at <= 256
     assert len(bins) <= 1.03 * sum(pieces.values()) / 256 + 1
     assert packing.pack(empty(spark), vocabulary()).count() == 0
+    t.encode_special_tokens = True
+    spelled = packing.Encoder(vocabulary(), encode_special_tokens=True)
+    assert all(np.frombuffer(spelled.encode(x or ""), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids for x in texts)
+
+
+def test_encoders_keep_within_their_bound(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing.Encoder, "KEEP", 50)
+    e, t = packing.encoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    assert packing.encoder(vocabulary()) is e
+    for x in corpus():
+        assert np.frombuffer(e.encode(x or ""), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+        assert len(e) <= 50
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    with open(vocabulary()) as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            packing.Encoder(str(tmp_path / "v.json"))
 
 
 def test_packing_takes_added_tokens_as_the_library_does(spark, tmp_path):
@@ -268,7 +301,7 @@ def test_forest_isolates_outliers():
 def test_lm(spark):
     texts = corpus()
     docs = frame(spark, texts)
-    rows = lm.score_texts(docs, F.col("doc_id") % 5 != 1, words=50, table=100, rounds=2).collect()
+    rows = lm.score_texts(docs, F.col("doc_id") % 5 != 1, table=100).collect()
     tokens = [(t or "").encode().lower().split() + [None] for t in texts]
     counts = Counter()
     for i, t in [*enumerate(tokens), (3, tokens[3])]:
@@ -294,12 +327,47 @@ def test_lm_normalises_and_learns():
     one, two = lm._contexts(events, np.array([0, len(events)]), 6)
     for _ in range(60):
         m.train(events, one, two, rng, squares)
-    t1, t2, z = m.tables()
+    (t1, t2), z = m.scores(), m.normalisers()
     p = np.exp(t1[:, None, :] + t2[None, :, :] - z[:, :, None])
     assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
     assert p[2, 1, 3] > 0.5
 
 
+def test_lm_words_of_all_classes_sum_to_one_and_events_grow():
+    """Each class's shares, with that of unseen words, and so the model's probabilities of all words."""
+    rng = np.random.default_rng(2)
+    hashes = np.sort(rng.integers(0, 1 << 62, 3000).astype(np.uint64))
+    n, endings = rng.zipf(1.3, 3000).clip(1, 10**6), rng.integers(0, lm.ENDINGS, 3000).astype(np.uint16)
+    mass = np.bincount(endings, weights=n + 0.5, minlength=lm.ENDINGS)
+    sizes = []
+    for total in (10**3, 10**6, 10**9, 10**13):
+        events, unigram = lm.choose_events(total, hashes, endings, n, mass)
+        sizes.append(len(unigram))
+        assert np.isclose(unigram.sum(), n.sum() + 0.5 * len(n) + 0.5 * len(events.masses))
+        e = events.of(hashes, endings)
+        for k in range(len(events.masses)):
+            assert np.isclose(((n + 0.5)[e == k].sum() + 0.5) / events.masses[k], 1)
+        assert sorted(e[e >= len(events.masses)]) == list(range(len(events.masses), len(unigram)))
+    assert sizes == sorted(sizes) and sizes[0] < sizes[2]
+    none, unigram = lm.choose_events(0, hashes[:0], endings[:0], n[:0], np.zeros(lm.ENDINGS))
+    assert len(none.words) == 0 and unigram.tolist() == [0.5]
+
+
+def test_lm_scores_what_it_learned_higher(spark):
+    """Texts in which each word says which comes next, held out: the model beats the unigram, and gives shuffled ones less."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=4)) for _ in range(60)]
+    line = lambda: " ".join(words[(a + i) % 60] for a in [r.randrange(60)] for i in range(40))
+    texts = [line() for _ in range(800)]
+    texts += [" ".join(r.sample(x.split(), 40)) for x in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {x.doc_id: x for x in lm.score_texts(docs, F.col("doc_id").between(40, 799)).collect()}
+    held = [rows[i] for i in range(40)]
+    assert all(x.held_out for x in held) and sum(x.score for x in held) > 0.8 * sum(x.base_score for x in held)
+    assert sum(rows[800 + i].score for i in range(20)) < sum(rows[i].score for i in range(20))
+    assert all(math.isclose(x.mean_score * x.n_tokens, x.score) for x in rows.values())
+
+
 def test_chat(spark):
     said = ["\\### Assistant: </turn> ok", None, "", "###", "</turn>\n### user: x", "a\\", "<|image|>", ": </turn", "\\\\###\\", "long " * 20_000]
     rows = [(c, t, ["user", "assistant", None, "x: ###"][(t + c) % 4], s, "x", 1) for c in range(4) for t, s in enumerate(said)] + [(9, 0, "assistant", "same", "x", 1)] * 2 + [(None, 0, "user", "no id", "x", 1)]
@@ -316,6 +384,23 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_ids_of_any_type(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (0, 0, "user", "c"), (None, 0, "user", "d")], "conv_id int, turn bigint, role string, text string")
+    for kind in ("smallint", "string", "decimal(5,2)", "double", "boolean", "date"):
+        some = rows.withColumn("conv_id", F.expr("date_add(date'2020-01-01', conv_id)" if kind == "date" else f"cast(conv_id as {kind})"))
+        out = chat.read_back(chat.format_conversations(some))
+        assert out.schema["conv_id"].dataType == some.schema["conv_id"].dataType
+        assert sorted(r.n_turns for r in out.collect()) == [1, 1, 2]
+
+
+def test_chat_parts_of_rows(spark):
+    rows = [(1, 0, "user", None, [("text", "see", None, None), ("image", None, "a.png", 2)]), (1, 1, "assistant", "ok", None), (1, 2, "user", "plain", [])]
+    df = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, text string, parts {chat.PARTS}")
+    r = chat.format_conversations(df, parts_col="parts").first()
+    assert [(a.type, a.ref, a.tokens) for a in r.attachments] == [("image", "a.png", 512)] and r.expanded_tokens == 512
+    assert list(chat.read_turns(r.formatted)) == [("user", ["see", "<|image|>"]), ("assistant", ["ok"]), ("user", ["plain"])]
+
+
 def test_chat_parts():
     parts = [{"type": "text", "text": "see <|image|> "}, {"type": "image", "ref": "a.png", "units": 2}, {"type": "audio", "ref": "b.wav", "units": None}, {"type": "document", "ref": None, "units": 3}, {"type": "text", "text": None}]
     text, mask, attached = chat.format_turns([("user", parts), ("assistant", [{"type": "text", "text": "ok"}])])
@@ -349,7 +434,7 @@ def test_pii(spark):
     secret = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
     texts = [*corpus(), f'it token = "{secret}" was', "clean words only and a long number 1683436113538828 here"] + [f'x{i} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" y' for i in range(30)]
     docs = frame(spark, texts)
-    model = pii.fit_secrets(docs)
+    model = pii.fit_spans(docs)
     rows = {r.doc_id: r for r in pii.pii_spans(docs, model).collect()}
     for i, t in enumerate(texts):
         want = brute_spans(t or "")
@@ -362,7 +447,21 @@ def test_pii(spark):
     clean = {r.doc_id: r for r in pii.redact(docs, model).collect()}
     assert clean[i].text == 'it token = "[SECRET]" was' and clean[i].n_chars == len(clean[i].text) and clean[i].id == "x"
     assert clean[i + 1].text == texts[i + 1]
-    assert pii.pii_spans(empty(spark), pii.fit_secrets(empty(spark))).count() == 0
+    assert pii.pii_spans(empty(spark), pii.fit_spans(empty(spark))).count() == 0
+
+
+def test_pii_accounts_and_names(spark):
+    """Votes of regex, gazetteer and context labelers on other kinds than secrets; what only looks alike stays."""
+    texts = ["pay to IBAN DE89 3704 0044 0532 0130 00 today", "account: GB82WEST12345698765432.", "signed Dr. Maria Sommer at noon", "and then Thomas Miller, who said", "contact: Patricia Gomez."] * 6
+    texts += ["CODE DE12 3456 7890 1234 5678 90 of a part", "Then The General Public License of New York", "Words And Other Words In Capitals", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = pii.fit_spans(docs)
+    rows = {r.doc_id: r for r in pii.pii_spans(docs, model).collect()}
+    assert [rows[i].spans.split(":")[0] for i in range(5)] == ["account", "account", "name", "name", "name"]
+    assert rows[0].spans == "account:12:39" and rows[2].spans == "name:7:23" and rows[3].spans == "name:9:22"
+    assert all(not rows[i].spans for i in range(30, 35))
+    assert [r.n_spans - r.n_added for r in rows.values()] == [sum((r.n_email, r.n_ip, r.n_card, r.n_phone)) for r in rows.values()]
+    assert pii._free(5, 9, [(1, 5), (9, 12)]) and not pii._free(5, 10, [(1, 5), (9, 12)]) and not pii._free(3, 4, [(1, 5)])
 
 
 def test_labelers_that_agree_count_more():
@@ -397,6 +496,14 @@ def test_mixing(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_where_few_sources_are_hot(spark, monkeypatch):
+    docs = frame(spark, corpus())
+    once = sorted(map(str, mixing.mix_sources(docs).collect()))
+    for hot in (0.5, 3, 4):  # none, some and all of the sources have more than one row in so many
+        monkeypatch.setattr(mixing, "HOT", hot)
+        assert sorted(map(str, mixing.mix_sources(docs).collect())) == once
+
+
 def test_fingerprints(spark):
     texts = corpus()
     docs = frame(spark, texts).filter("doc_id <> 3 or source = 'c'")
@@ -430,6 +537,28 @@ def test_fingerprints_of_many_ranges_are_those_of_one(spark, monkeypatch, most):
     assert few[0][1] == 3 if most == 3 else few[0][1] > 10
 
 
+def test_fingerprints_of_text_ids(spark, monkeypatch):
+    """Ids that begin alike and agree in their order with numbers give the same neighbours."""
+    docs = frame(spark, corpus()).filter("doc_id <> 3 or source = 'c'").select("doc_id", "text")
+    one = {r.doc_id: r for r in syncmers.fingerprints(docs).collect()}
+    whole = syncmers.neighbours
+    monkeypatch.setattr(syncmers, "neighbours", lambda *a, **b: whole(*a, **b, target_bytes=20_000))
+    for name, back in (("concat('document-', lpad(doc_id, 9, '0'))", lambda x: int(x[9:])), ("cast(doc_id as decimal(9,2))", int), ("timestamp_seconds(doc_id * 1000)", lambda x: int(x.timestamp()) // 1000)):
+        for r in syncmers.fingerprints(docs.withColumn("doc_id", F.expr(name))).collect():
+            assert r.asDict() | {"doc_id": 0} == one[back(r.doc_id)].asDict() | {"doc_id": 0}
+
+
+def test_fingerprint_text_and_pieces(monkeypatch):
+    texts = [x for x in corpus() if x]
+    whole = [syncmers.anchors(x) for x in texts]
+    for a in whole:
+        assert (syncmers.read_fingerprint(syncmers.fingerprint(a)) == a).all()
+    far = np.array([[1, 5], [2, 900]], np.uint32)
+    assert (syncmers.read_fingerprint(syncmers.fingerprint(far)) == far).all() and syncmers.read_fingerprint("").shape == (0, 2)
+    monkeypatch.setattr(syncmers, "STEP", 37)
+    assert all((syncmers.anchors(x) == a).all() and len(syncmers.anchors(x)) == len(a) for x, a in zip(texts, whole, strict=True))
+
+
 def test_syncmers_by_brute_force():
     text = corpus()[0] * 3
     k, s = 20, 6
@@ -473,6 +602,21 @@ def test_warc(spark, tmp_path):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_only_whole_headers_begin_records():
+    import gzip
+
+    good = warc._record("response", "a", None, "D", b"x" * 5000, 5000, None, "d")
+    fakes = [gzip.compress(b"WARC/1.0\r\n\r\nno headers"), gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n"), gzip.compress(b"WARC/1.0 " + b"x" * 200_000), good[:40], gzip.compress(b"other")]
+    for fake in fakes:
+        data = fake + good
+        for split in (10, 50, len(data)):
+            found = [(p, h["WARC-Record-ID"]) for a in range(0, len(data), split) for p, h, _ in warc.split_records(io.BytesIO(data), a, a + split)]
+            assert found == [(len(fake), "<urn:page:a>")]
+    damaged = bytearray(good)
+    damaged[len(good) // 2] ^= 255
+    assert [p for p, *_ in warc.split_records(io.BytesIO(bytes(damaged) + good), 0, 10**6)] == [len(good)]
+
+
 @pytest.mark.parametrize("split", [1, 7, 64, 1000, 10**6])
 def test_splits_own_each_record_once(split):
     r = random.Random(1)
@@ -499,6 +643,23 @@ def test_compression(spark):
     assert compression.score_compression(empty(spark), model).count() == 0
 
 
+def test_compression_scores_by_brute_force(spark):
+    """Scores are the curve's value at the difference of the sizes of the blocks, compressed one by one from the dictionaries."""
+    import zstandard as z
+
+    prose = classed_prose()
+    texts = [prose(i % 2, 2000) for i in range(60)] + [prose(1, 30_000), "", None, "é", "x" * 8193]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    model = compression.fit_compression(docs, labels)
+    dicts = [z.ZstdCompressionDict(d) for d in model["dictionaries"]]
+    for r in compression.score_compression(docs, model, score_col="verdict").collect():
+        t = (texts[r.doc_id] or "").encode()
+        good, bad = (sum(len(z.ZstdCompressor(level=3, dict_data=d, write_content_size=False).compress(t[i : i + 8192])) for i in range(0, len(t), 8192)) for d in dicts)
+        x = model["weights"][0] + (model["weights"][1] * (bad - good) / len(t) if t else 0)
+        assert math.isclose(r.verdict, 1 / (1 + math.exp(-min(30, max(-30, x)))), rel_tol=1e-9) and r.score == 0.5  # the column of docs stays
+
+
 def classed_prose(seed=6):
     """A maker of texts by class and size: phrases of the class among words that both classes have."""
     r = random.Random(seed)
@@ -527,7 +688,38 @@ def test_compression_learns_from_whole_texts(spark):
     assert all(rows[i] > 0.8 if i % 2 else rows[i] < 0.2 for i in range(80, 120)), {i: rows[i] for i in range(80, 120)}
 
 
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    from arachne.llm import hashing
+
+    texts = pa.array([*corpus(), "x" * 300, "a " * 90 + "y" * 250 + " b", "\n"])
+
+    def found():
+        out = []
+        for first, offsets, data in hashing.text_chunks(texts, 1 << 20):
+            starts, ends, at = hashing.word_spans(offsets, data)
+            out.append((first, starts.tolist(), ends.tolist(), at.tolist(), hashing.word_hashes(data, starts, ends).tolist()))
+        return out
+
+    whole = found()
+    for piece in (3, 64, 1000):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        assert found() == whole
+
+
+@pytest.mark.parametrize("text", ["word " * 400_000, "x" * 3_000_000])
+def test_texts_of_megabytes(spark, text):
+    """Each operator on whole texts of 2 and 3 MB: one of many words, one of a single word."""
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short")], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(docs, 4, 85, 100).collect()}
+    assert got == ({1: 1, 2: 2, 3: 3} if " " in text else {1: 1, 2: 2, 3: 3}) or got == {1: 1, 2: 1, 3: 3}
+    n = len(WORD.findall(text))
+    rows = {r.doc_id: r.n_words for r in rules.apply_rules(docs, *rules.fit_rules(docs, spark.createDataFrame([], "doc_id bigint, quality int"))).collect()}
+    assert rows == {1: n, 2: n + 1, 3: 1}
+    assert {r.doc_id: r.n_tokens for r in lm.score_texts(docs, F.lit(True)).collect()} == {1: n + 1, 2: n + 2, 3: 2}
+    assert {r.doc_id: r.n_chars for r in syncmers.fingerprints(docs).collect()} == {1: len(text), 2: len(text) + 4, 3: 5}
+
+
 def test_vocabulary_file_is_the_library_s():
     with open(vocabulary()) as f:
-        assert len(json.load(f)["model"]["vocab"]) >= len(packing._ranks(vocabulary())) > 50_000
+        assert len(json.load(f)["model"]["vocab"]) >= len(packing._ranks(packing._spec(vocabulary()))) > 50_000
     assert pa.__version__
