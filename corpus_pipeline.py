@@ -18,16 +18,20 @@ from arachne.llm.compression import fit_compression, score_compression
 from arachne.llm.mixing import mixed_documents
 from arachne.llm.ngram_join import link_components
 from arachne.llm.packing import pack
-from arachne.llm.pii import fit_secrets, redact
+from arachne.llm.pii import fit_spans, redact
 from arachne.llm.queries import vocabulary
 from arachne.llm.shared import cut, shared_dir
 
 LEAST_QUALITY = 0.5
+#: Not a column of documents.
+_SCORE = "_quality_score"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored below LEAST_QUALITY go, by labels.parquet in sf_dir. Null and empty texts have the score of a text that tells nothing. Without
+    labelled rows all stay. No rows: none."""
     model = fit_compression(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_compression(docs, model).filter(F.col("score") >= LEAST_QUALITY).drop("score")
+    return score_compression(docs, model, score_col=_SCORE).filter(F.col(_SCORE) >= LEAST_QUALITY).drop(_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +48,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs, fit_secrets(docs))
+    """All rows stay; in texts each span of personal data is its kind in brackets, and n_chars counts anew. Null texts stay null."""
+    return redact(docs, fit_spans(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's target takes them, 0 to 2 times; rows of one id go together. A null source is a source. No rows: none."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary(), encode_special_tokens=False)
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all rows' pieces; null and empty texts are their end alone."""
+    return pack(docs, vocabulary())
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mixture", mixture), ("packing", packing)]
