@@ -38,8 +38,8 @@ MARKS = 1 << 21
 #: Shingles a block of a group holds, about, and sets.
 BLOCK = 1 << 19
 SETS = 128
-#: A key of more than one row in so many is joined by broadcast: so many keys at most.
-HOT = 2000
+#: A key of more than one row in so many is joined by broadcast: so many keys at most. Keys of few rows never are.
+HOT, LEAST_HOT = 2000, 1000
 #: Edges that one task labels.
 FEW = 1 << 19
 #: So many postings of a shingle and of sizes that can link, in one batch, are posted as one.
@@ -260,7 +260,7 @@ def _spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     broadcast. The others meet by a shuffle in which no key is large."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_c"))
     total = rows.count()
-    hot = [r[0] for r in counts.filter(F.col("_c") > max(1000, total // HOT)).select(key).collect()]  # HOT keys at most
+    hot = [r[0] for r in counts.filter(F.col("_c") > max(LEAST_HOT, total // HOT)).select(key).collect()]  # HOT keys at most
     if not hot:
         return rows.join(table, key)
     keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], f"{key} {rows.schema[key].dataType.simpleString()}"))
@@ -448,7 +448,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     groups = members.groupBy("centre").agg((F.greatest(F.floor(F.sum("n") / F.lit(BLOCK)), F.floor(F.count("*") / F.lit(SETS))) + 1).cast("int").alias("blocks"))
     salt = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # a centre stands in every block of its group
-    plan = members.join(groups, "centre").select("centre", "key", "blocks", F.explode(F.when(F.col("h1") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(salt))).alias("block"))
+    plan = _spread_join(members, groups, "centre").select("centre", "key", "blocks", F.explode(F.when(F.col("h1") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(salt))).alias("block"))
     plan = cut(plan)
     def ordered_sets(wanted: DataFrame) -> DataFrame:
         """(key, tokens) of the sets whose h1 is in `wanted`, and of a few more that its bitmap can't tell from them."""
