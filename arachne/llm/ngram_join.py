@@ -39,7 +39,7 @@ MARKS = 1 << 21
 BLOCK = 1 << 19
 SETS = 128
 #: A key of more than one row in so many is joined by broadcast: so many keys at most. Keys of few rows never are.
-HOT, LEAST_HOT = 2000, 1000
+HOT, LEAST_HOT = 2000, 100
 #: Edges that one task labels.
 FEW = 1 << 19
 #: So many postings of a shingle and of sizes that can link, in one batch, are posted as one.
