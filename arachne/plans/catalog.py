@@ -529,14 +529,14 @@ def media_img_only(s, d):
 
 
 def _archived(s: SparkSession, rows: DataFrame, suffix: str = ".warc.gz") -> DataFrame:
-    """Rows (rec_type, url, mimetype, content) as archives in the shared folder, read back by the data source."""
+    """Rows (rec_type, url, mimetype, content) as archives in the shared folder, read back by the data source, without the map of headers that no job reads."""
     from arachne.sinks.warc import write_warc
     from arachne.sources.warc import WarcDataSource
 
     folder = f"{shared_dir(s)}/archives-{uuid.uuid4().hex}"
     write_warc(rows, folder, suffix=suffix)
     s.dataSource.register(WarcDataSource)
-    return s.read.format("warc").load(f"{folder}/*{suffix}")
+    return s.read.format("warc").option("headers", "false").load(f"{folder}/*{suffix}")
 
 
 _MIME = "CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 13 = 0 THEN 'application/http; msgtype=request' ELSE 'application/http; msgtype=response' END"

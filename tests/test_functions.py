@@ -187,6 +187,35 @@ def test_broken_archives_end_with_what_can_be_read(spark, tmp_path):
     assert [r.content for r in spark.read.format("warc").option("content", "false").load(str(tmp_path)).collect()] == [None] * 3
 
 
+def test_archives_are_read_and_written_within_bounds(spark, tmp_path, monkeypatch):
+    from arachne.sources import warc
+
+    monkeypatch.setattr(warc, "BATCH_PAYLOAD", 5000)
+    bodies = [bytes([65 + i % 26]) * (i % 7 * 700) for i in range(300)]
+    members = [gzip_record([("WARC-Type", "conversion"), ("X-N", str(i)), ("x-n", "again")], b) for i, b in enumerate(bodies)]
+    (tmp_path / "a.warc.gz").write_bytes(b"\0\0".join(members))
+    reader = warc._WarcReader([], True)
+    batches = list(reader.read(warc._File(str(tmp_path / "a.warc.gz"))))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert len(batches) > 50 and all(sum(map(len, b.column("content").to_pylist()[:-1])) < 5000 for b in batches)
+    assert [r["content"] for r in rows] == bodies and [dict(r["headers"])["X-N"] for r in rows] == [str(i) for i in range(300)]
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(members[:20])[:-3])
+    with pytest.raises(EOFError):
+        list(reader.read(warc._File(str(tmp_path / "cut.warc.gz"))))
+    docs = spark.range(0, 400, 1, 2).selectExpr("'conversion' rec_type", "'http://a.com/' url", "'text/plain' mimetype", "string(id) content")
+    files = write_warc(docs, f"{tmp_path}/many", most=2000).collect()
+    assert len(files) > 20 and all(f.size < 2400 for f in files)
+    spark.dataSource.register(warc.WarcDataSource)
+    again = spark.read.format("warc").load(f"{tmp_path}/many")
+    assert sorted(int(bytes(r.content)) for r in again.collect()) == list(range(400))
+    bare = spark.read.format("warc").option("headers", "false").load(f"{tmp_path}/many")
+    assert again.filter("headers['Content-Type'] = 'text/plain'").count() == 400 == bare.filter("headers is null and mimetype = 'text/plain'").count()
+    counted = A.word_counts(again)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan(counted.counters) and "parse_json" not in plan(A.server_counts(again).result)
+    assert counted.counters.first().asDict() == {"records_in": 400, "empty_page_text": 0, "non_plain_text": 0, "exceptions": 0}
+
+
 def test_report(spark, tmp_path):
     from arachne.sinks.text import write_report
 
