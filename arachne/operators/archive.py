@@ -1,8 +1,8 @@
 """Jobs over records of web archives: tags and media of responses, servers of metadata, words of texts.
 
 Each takes the rows of sources.warc and gives a Job: its result, and its counters as one row. A record that can't be read counts as
-an exception and ends nothing. Counters are entries of the same aggregation as the results, so one pass gives both. (A session that has
-had an Observation can't run MLlib's forests any more in Spark 4.1, as its closures then hold what can't be sent.)
+an exception and ends nothing. Result and counters are queries of their own, so each computes only what it needs. (Not an Observation: a session that has
+had one can't run MLlib's forests any more in Spark 4.1, as its closures then hold what can't be sent.)
 """
 
 from __future__ import annotations
@@ -30,17 +30,15 @@ class Job(NamedTuple):
     counters: DataFrame
 
 
-def _entry(condition: Column, name: str) -> Column:
-    return F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(True).alias("counter"), F.lit(name).alias("key")))
+def _many(condition: Column) -> Column:
+    """The number of rows that meet a condition, nulls not; 0 without rows."""
+    return F.count(F.when(condition, True))
 
 
 def _job(rows: DataFrame, keys: Column, name: str, conditions: dict[str, Column]) -> Job:
     """Counts of the keys of all rows, an array each, and of the rows that meet each condition."""
-    found = F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit(False).alias("counter"), k.alias("key")))
-    met = F.filter(F.array(*(_entry(c, n) for n, c in conditions.items())), lambda e: e.isNotNull())
-    counts = rows.select(F.explode(F.concat(found, met)).alias("e")).groupBy("e.counter", "e.key").agg(F.count("*").alias("n"))
-    counters = counts.agg(*(F.coalesce(F.sum(F.when(F.col("counter") & (F.col("key") == c), F.col("n"))), F.lit(0)).alias(c.lower()) for c in conditions))
-    return Job(counts.filter(~F.col("counter")).select(F.col("key").alias(name), "n"), counters)
+    counts = rows.select(F.explode(keys).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    return Job(counts, rows.agg(*(_many(c).alias(n.lower()) for n, c in conditions.items())))
 
 
 def tag_counts(records: DataFrame) -> Job:
@@ -81,5 +79,4 @@ def media_job(records: DataFrame, parse_headers: bool = False, only_img: bool =
     html = F.col("content") if parse_headers else F.col("p.body")
     refs = extract_media(some.filter(typed).select(html.alias("html"), "url"), only_img=only_img)
     first = first_of_each(refs, "src", ["pageUrl", "domDepth", "domElem", "domSib", "alt", "w", "h", "parentTxt"])
-    many = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("bigint")), F.lit(0))
-    return Job(first, some.agg(many(typed).alias("records_in"), many(~typed | F.col("p").isNull()).alias("exceptions")))
+    return Job(first, some.agg(_many(typed).alias("records_in"), _many(~typed | F.col("p").isNull()).alias("exceptions")))
