@@ -253,6 +253,19 @@ def test_learning_chain(spark, tmp_path):
     assert {x.id % 2 for x in C.gated(df.filter("id between 40 and 60"), models).collect()} == {1}
 
 
+def test_forest_keeps_its_rows_nodes(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(0, 300, 1, 3).selectExpr("double(xxhash64(id) % 2 = 0) y", *(f"double(pmod(xxhash64(id, {i}), 50)) e{i}" for i in range(4)))
+    names = [f"e{i}" for i in range(4)]
+    forest = L.train_forest(rows, names, "y", trees=4).stages[-1]
+    assert forest.getOrDefault("cacheNodeIds")
+    walked = RandomForestClassifier(labelCol="y", numTrees=4, maxDepth=30, featureSubsetStrategy="log2", seed=1).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
+    trees = lambda m: [t.toDebugString.partition("\n")[2] for t in m.trees]
+    assert trees(forest) == trees(walked)
+
+
 def test_arbitration_by_margin(spark):
     df = spark.createDataFrame([(1, [0.40, 0.60], 0, [0.64, 0.36])], "c1 int, d1 array<double>, c2 int, d2 array<double>")
     a = lambda m: df.select(L.arbitrate(F.col("c1"), F.col("d1"), F.col("c2"), F.col("d2"), m).alias("c")).first().c
